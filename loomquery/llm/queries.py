@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_plan
+from .simhash import classes
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources,)}
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"), k=2, shingle=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op8_simhash_near_dedup)}
 
 #: Only what SQL can express.
 ORACLE: dict[str, str] = {}
