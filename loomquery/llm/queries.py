@@ -6,18 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_plan
+from .packing import pack
 from .simhash import classes
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), k=2, shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_pack_sequences, op8_simhash_near_dedup)}
 
 #: Only what SQL can express.
 ORACLE: dict[str, str] = {}
