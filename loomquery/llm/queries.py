@@ -9,6 +9,7 @@ from .graph_ann import nearest
 from .mixing import mix_plan
 from .mtree import top_k
 from .packing import pack
+from .quality import classified
 from .simhash import classes
 
 
@@ -22,6 +23,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -38,7 +43,7 @@ def op10_topk_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op10_topk_mtree)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op10_topk_mtree)}
 
 #: Only what SQL can express.
 ORACLE: dict[str, str] = {
