@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .graph_ann import nearest
+from .htmlcut import extracted
 from .mixing import mix_plan
 from .mtree import top_k
 from .packing import pack
@@ -39,11 +40,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), k=2, shingle=3)
 
 
+def op9_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_topk_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op10_topk_mtree)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op9_html_mincut, op10_topk_mtree)}
 
 #: Only what SQL can express.
 ORACLE: dict[str, str] = {
