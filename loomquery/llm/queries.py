@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .graph_ann import nearest
 from .htmlcut import extracted
+from .linededup import line_report
 from .mixing import mix_plan
 from .mtree import top_k
 from .packing import pack
@@ -28,6 +29,10 @@ def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -48,7 +53,7 @@ def op10_topk_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op9_html_mincut, op10_topk_mtree)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op3_line_chunks, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op9_html_mincut, op10_topk_mtree)}
 
 #: Only what SQL can express.
 ORACLE: dict[str, str] = {
