@@ -13,6 +13,7 @@ from .mtree import top_k
 from .packing import pack
 from .quality import classified
 from .simhash import classes
+from .warc import AUDIT_SQL, audited, damaged
 
 
 def word_tokenizer() -> str:
@@ -33,6 +34,11 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return audited(pages, damaged(pages))
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -53,10 +59,11 @@ def op10_topk_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op3_line_chunks, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op9_html_mincut, op10_topk_mtree)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op3_line_chunks, op4_warc_fixity, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op9_html_mincut, op10_topk_mtree)}
 
 #: Only what SQL can express.
 ORACLE: dict[str, str] = {
+    "op4_warc_fixity": AUDIT_SQL,
     "op10_topk_mtree": """
         WITH p AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
