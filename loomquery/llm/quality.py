@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: bytes, name: str = "score") -> DataFrame:
             margin = np.array([w[features(t)].sum(dtype=np.float64) for t in texts]) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35))))
 
-    return docs.withColumn(name, F.pandas_udf(of, "double", F.PandasUDFType.SCALAR_ITER)(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(of, "double")(F.col("text")))
 
 
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -24,6 +24,7 @@ from .common import bounded, materialize
 #: Distinct fingerprints that one task joins; larger groups are split.
 GROUP_ROWS = 200_000
 BUCKET_ROWS = 50_000
+SIGNS = ["s0", "s1", "s2", "s3"]
 SEED = 42
 
 
@@ -90,11 +91,16 @@ class _Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def trie_join(values: np.ndarray, other: np.ndarray | None, k: int, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (smaller root, member) that span the components of values under distances of at most k bits.
+#: Pairs of numbers compared at a time.
+PAIRS = 2_000_000
 
-    values, other: sorted distinct unsigned 64-bit numbers; with other, only pairs across the two count.
+
+def trie_join(values: np.ndarray, other: np.ndarray | None, k: int, head: int = 0, signs: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (root, member), as places in values (then other), that span the components of values under distances of at most k bits.
+
+    values, other: sorted unsigned 64-bit numbers; with other, only pairs across the two count.
     Without other, only numbers that share their first head bits are paired: the join starts at those nodes.
+    signs: a longer fingerprint of each number, in rows of 64-bit words: a pair must differ in at most so many bits of it too.
     A node is a range of the sorted numbers that share a prefix. Pairs of small nodes are compared outright.
     """
     every = values if other is None else np.concatenate([values, other])
@@ -102,16 +108,31 @@ def trie_join(values: np.ndarray, other: np.ndarray | None, k: int, head: int =
     counted = np.bitwise_count
 
     def outright(a0, a1, b0, b1):
-        # The pairs of small node pairs, at most leaf * leaf from each.
+        # All pairs of each pair of nodes, some PAIRS at a time: by runs of node pairs, and large ones row by row.
+        size = (a1 - a0) * (b1 - b0)
+        large = size > PAIRS
+        for i in np.flatnonzero(large):
+            rows = max(1, PAIRS // int(b1[i] - b0[i]))
+            for lo in range(int(a0[i]), int(a1[i]), rows):
+                compare(np.array([lo]), np.array([min(lo + rows, int(a1[i]))]), b0[i : i + 1], b1[i : i + 1])
+        small = np.flatnonzero(~large)
+        if len(small):
+            run = np.cumsum(size[small]) // PAIRS
+            for part in np.split(small, np.flatnonzero(np.diff(run)) + 1):
+                compare(a0[part], a1[part], b0[part], b1[part])
+
+    def compare(a0, a1, b0, b1):
         size = (a1 - a0) * (b1 - b0)
         which = np.repeat(np.arange(len(a0)), size)
         at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         wide = (b1 - b0)[which]
         i, j = a0[which] + at // wide, b0[which] + at % wide
-        near = counted(every[i] ^ every[j]) <= k
+        near = (counted(every[i] ^ every[j]) <= k) & (i != j)
         i, j = i[near], j[near]
-        keep = i != j
-        forest.link(i[keep], j[keep])
+        if signs is not None:
+            near = counted(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int64) <= most
+            i, j = i[near], j[near]
+        forest.link(i, j)
 
     def middle(lo, hi, bit):
         """Where in each range the numbers with this bit begin; the ranges are disjoint or equal."""
@@ -129,8 +150,7 @@ def trie_join(values: np.ndarray, other: np.ndarray | None, k: int, head: int =
         bit, a0, a1, b0, b1, off = stack.pop()
         small = ((a1 - a0) <= leaf) & ((b1 - b0) <= leaf) | (bit < 0)
         if small.any():
-            for part in np.array_split(np.flatnonzero(small), max(1, int(small.sum()) // 20_000)):
-                outright(a0[part], a1[part], b0[part], b1[part])
+            outright(a0[small], a1[small], b0[small], b1[small])
             big = ~small
             a0, a1, b0, b1, off = (x[big] for x in (a0, a1, b0, b1, off))
         if not len(a0):
@@ -153,28 +173,31 @@ def trie_join(values: np.ndarray, other: np.ndarray | None, k: int, head: int =
     member = np.arange(len(every))
     root = forest.roots(member)
     moved = root != member
-    return every[root[moved]], every[member[moved]]
+    return root[moved], member[moved]
 
 
 def _turn(bits: np.ndarray, by: int) -> np.ndarray:
     return bits << np.uint64(by) | bits >> np.uint64(64 - by) if by else bits
 
 
-def _join_group(k: int, group: pd.DataFrame) -> pd.DataFrame:
+def _join_group(k: int, most: int, group: pd.DataFrame) -> pd.DataFrame:
     start, width = _bands(k)[int(group["band"].iloc[0])]
-    by = 64 - (start + width)  # the band becomes the first bits
-    bits, left = _turn(group["bits"].to_numpy(np.int64).view(np.uint64), by), group["left"].to_numpy(bool)
-    if group["lo"].iloc[0] == group["hi"].iloc[0]:
-        a, b = trie_join(np.unique(bits), None, k, width)
-    else:
-        a, b = trie_join(np.unique(bits[left]), np.unique(bits[~left]), k)
-    return pd.DataFrame({"a": _turn(a, (64 - by) % 64).view(np.int64), "b": _turn(b, (64 - by) % 64).view(np.int64)})
-
-
-def links(distinct: DataFrame, k: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): links between the distinct longs of column bits that span every component of those at most k bits apart."""
+    bits = _turn(group["bits"].to_numpy(np.int64).view(np.uint64), 64 - (start + width))  # the band becomes the first bits
+    one = group["lo"].iloc[0] == group["hi"].iloc[0]
+    left = group["left"].to_numpy(bool)
+    order = np.argsort(bits, kind="stable") if one else np.concatenate([s[np.argsort(bits[s], kind="stable")] for s in (np.flatnonzero(left), np.flatnonzero(~left))])
+    signs = np.stack([group[c].to_numpy(np.int64).view(np.uint64) for c in SIGNS], axis=1)[order] if most else None
+    bits, items = bits[order], group["item"].to_numpy(np.int64)[order]
+    n = int(left.sum())
+    a, b = trie_join(bits, None, k, width, signs, most) if one else trie_join(bits[:n], bits[n:], k, 0, signs, most)
+    return pd.DataFrame({"a": items[a], "b": items[b]})
+
+
+def links(distinct: DataFrame, k: int, most: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """distinct: (item, bits), and the SIGNS where most is given. (a, b): links between items that span every component of those whose bits are at most k apart (and whose signs are at most so many)."""
+    held = ["item", "bits", *(SIGNS if most else [])]
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("bits", a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (a, w) in enumerate(_bands(k))])
-    routed = materialize(distinct.select("bits", F.explode(bands).alias("at")).select("bits", "at.band", "at.value"), "simhash-bands")
+    routed = materialize(distinct.select(*held, F.explode(bands).alias("at")).select(*held, "at.band", "at.value"), "simhash-bands")
     sizes = routed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Upper trie nodes for the split of a large group: the 12 bits that follow its band, round the end.
     turned = [F.shiftleft("bits", 64 - (a + w)).bitwiseOR(F.shiftrightunsigned("bits", a + w)) if a + w < 64 else F.col("bits") for a, w in _bands(k)]
@@ -184,14 +207,14 @@ def links(distinct: DataFrame, k: int, group_rows: int = GROUP_ROWS) -> DataFram
     offered = F.element_at(F.array(*[F.array(*map(F.lit, m)) for m in masks]), F.col("depth") + 1)
     rows = routed.join(sizes, ["band", "value"]).withColumn("depth", depth).withColumn("outside", outside)
     rows = rows.withColumn("node", F.expr("cast(outside div shiftleft(1, 12 - depth) as int)"))
-    rows = rows.select("bits", "band", "value", "depth", "node", F.explode(offered).alias("mask")).withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
+    rows = rows.select(*held, "band", "value", "depth", "node", F.explode(offered).alias("mask")).withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
     # Groups that need no split share a task, some BUCKET_ROWS together.
     buckets = max(1, routed.count() // BUCKET_ROWS)
     alone = F.col("depth") > 0
     bucket = F.when(alone, F.col("value")).otherwise(F.pmod(F.xxhash64("band", "value"), F.lit(buckets)))
-    rows = rows.select("bits", "band", alone.alias("alone"), bucket.alias("bucket"), F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"), (F.col("node") <= F.col("other")).alias("left"))
+    rows = rows.select(*held, "band", alone.alias("alone"), bucket.alias("bucket"), F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"), (F.col("node") <= F.col("other")).alias("left"))
     rows = rows.withColumns({c: F.when(F.col("alone"), F.col(c)).otherwise(0) for c in ("lo", "hi")})
-    return rows.groupBy("band", "alone", "bucket", "lo", "hi").applyInPandas(lambda group: _join_group(k, group), "a long, b long")
+    return rows.groupBy("band", "alone", "bucket", "lo", "hi").applyInPandas(lambda group: _join_group(k, most, group), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -222,21 +245,77 @@ def classes(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
     """
     marked = materialize(with_fingerprint(docs.select("doc_id", "text"), "bits", shingle).select("doc_id", "bits"), "simhash")
     distinct = materialize(marked.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    labels = components(materialize(links(distinct, k), "simhash-links"))
+    labels = components(materialize(links(distinct.withColumn("item", F.col("bits")), k), "simhash-links"))
     linked = distinct.join(labels, F.col("bits") == F.col("node"), "left").select("bits", "first_id", F.coalesce("label", "bits").alias("label"))
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = bounded(materialize(linked.join(least, "label").select("bits", "component_id"), "simhash-classes"), 1_000_000)
     return marked.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
-    """docs without all but one document of each component: the one with the component's least doc_id stays, whole and once (of rows that share it, the one whose text hashes least). Columns and null texts: as they are."""
-    found = classes(docs, k, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
-    stays = found.distinct()
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of each row of hashes' columns: (words,) of 64 bits from (n, words)."""
+    n, wide = hashes.shape
+    votes = np.zeros(64 * wide, np.int64)
+    for at in range(0, n, 255):
+        votes += np.add.reduce(np.unpackbits(hashes[at : at + 255].astype(">u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > n).view(">u8").astype(np.uint64)
+
+
+def signature(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Five 64-bit words: the SimHash of a text's distinct words, and one of 256 bits of its word shingles; zeros without words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(5, np.uint64)
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    single = np.fromiter(known.values(), np.uint64, len(known))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n, mixed = max(1, len(words) - shingle + 1), np.zeros(max(1, len(words) - shingle + 1), np.uint64)
+    for i in range(min(shingle, len(words))):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    mixed = np.unique(mixed)
+    many = []
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        x = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(odd)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        many.append(x ^ (x >> np.uint64(32)))
+    return np.concatenate([_votes(single[:, None]), _votes(np.stack(many, axis=1))])
+
+
+def near_classes(docs: DataFrame, k: int = 6, most: int = 48) -> DataFrame:
+    """Per row of docs: doc_id and component_id, the least doc_id of its near copies, itself included.
+
+    Two texts are near copies if the SimHashes of their distinct words differ in at most k bits and those of their
+    five-word shingles, of 256 bits, in at most so many: 48 is where the shingle sets have a similarity of about 0.75,
+    so nearly all pairs of 0.8 and more are within it. Null and empty texts are copies of one another. A null doc_id is a row like any other.
+    """
+
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        rows = np.array([signature(t) for t in texts], np.uint64).reshape(-1, 5).view(np.int64)
+        return pd.DataFrame(rows, columns=["bits", *SIGNS])
+
+    kind = ", ".join(f"{c} long" for c in ("bits", *SIGNS))
+    marked = docs.select("doc_id", F.pandas_udf(sign, kind)("text").alias("s")).select("doc_id", "s.*")
+    marked = materialize(marked.withColumn("item", F.xxhash64("bits", *SIGNS)), "near")
+    distinct = materialize(marked.groupBy("item").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("bits", *SIGNS)]), "near-distinct")
+    labels = components(materialize(links(distinct, k, most), "near-links"))
+    linked = distinct.select("item", "first_id").join(labels, F.col("item") == F.col("node"), "left").select("item", "first_id", F.coalesce("label", "item").alias("label"))
+    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = bounded(materialize(linked.join(least, "label").select("item", "component_id"), "near-classes"), 1_000_000)
+    return marked.join(named, "item").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 6, most: int = 48) -> DataFrame:
+    """docs without all but one document of each class of near copies: the one with the least doc_id stays, whole and once (of rows that share it, one whose text hashes least). Columns and null texts: as they are."""
+    found = near_classes(docs, k, most)
+    stays = materialize(found.groupBy(F.col("component_id").alias("stays")).agg(F.count(F.lit(1)).alias("n")), "near-stays").select("stays")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.select(F.struct(*cols).alias("doc"), F.col("doc_id").alias("id")).join(stays, F.col("id").eqNullSafe(F.col("stays")), "left_semi")
-    many = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("doc.text")).alias("first")).where("n > 1")
-    many = bounded(materialize(many, "simhash-repeated"), 1_000_000)
-    single = kept.join(many.select(F.col("id").alias("many_id")), F.col("id").eqNullSafe(F.col("many_id")), "left_anti").select("doc.*")
-    rest = kept.join(many, kept["id"].eqNullSafe(many["id"])).where(F.xxhash64("doc.text") == F.col("first")).select(kept["id"].alias("id"), "doc", "first").dropDuplicates(["id", "first"]).select("doc.*")
-    return single.union(rest)
+    kept = docs.select(F.struct(*cols).alias("doc"), F.col("doc_id").alias("id")).join(bounded(stays, 1_000_000), F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    # Rows that repeat an id are rare: they are put aside, and one of each stays.
+    ids = materialize(docs.groupBy(F.col("doc_id").alias("many")).agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("first")).where("n > 1"), "near-repeated")
+    if not ids.limit(1).count():
+        return kept.select("doc.*")
+    ids = bounded(ids, 1_000_000)
+    rest = kept.join(ids, F.col("id").eqNullSafe(F.col("many"))).where(F.xxhash64("doc.text") == F.col("first")).dropDuplicates(["many", "first"])
+    return kept.join(ids, F.col("id").eqNullSafe(F.col("many")), "left_anti").select("doc.*").union(rest.select("doc.*"))
