@@ -13,6 +13,7 @@ from .mtree import top_k
 from .packing import pack
 from .quality import classified
 from .simhash import classes
+from .tokenfile import round_trip
 from .warc import AUDIT_SQL, audited, damaged
 
 
@@ -47,6 +48,10 @@ def op6_nearest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), k=2, shingle=3)
 
@@ -59,7 +64,7 @@ def op10_topk_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op3_line_chunks, op4_warc_fixity, op5_pack_sequences, op6_nearest_graph, op8_simhash_near_dedup, op9_html_mincut, op10_topk_mtree)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_nbsvm, op3_line_chunks, op4_warc_fixity, op5_pack_sequences, op6_nearest_graph, op7_token_files, op8_simhash_near_dedup, op9_html_mincut, op10_topk_mtree)}
 
 #: Only what SQL can express.
 ORACLE: dict[str, str] = {
