@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 
 #: Words that a worker remembers, each of at most CACHED_BYTES; the cache is emptied when full.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_400_000
 CACHED_BYTES = 48
 #: ASCII characters that form no token with what stands before them in a word.
 TAIL = b".,;:!?*#$%&"
@@ -64,9 +64,14 @@ class WordEncoder:
         """Adds these words to the known ones. After an ASCII letter or digit, a run of TAIL characters at a word's end is a token run of its own, so "word," is "word" and ","."""
         known = self.known
         cut = {w: c for w in words if 0 < len(c := w.rstrip(TAIL)) < len(w) and c[-1:].isalnum()}
-        plain = {cut.get(w, w) for w in words}.union(w[len(c) :] for w, c in cut.items()).difference(known)
+        # Capitals in a text that has other characters too.
+        low = {c: c.lower() for c in words.difference(cut).union(cut.values()) if c.isascii() and not c.islower() and b"<|" not in c}
+        words = words.union(cut.values())
+        plain = {low.get(c, c) for c in words.difference(cut)}.union(w[len(c) :] for w, c in cut.items()).difference(known)
         plain = list(plain)
         known.update(zip(plain, self._encode(plain)))
+        for w, c in low.items():
+            known[w] = known[c]
         for w, c in cut.items():
             known[w] = known[c] + known[w[len(c) :]]
 
