@@ -86,7 +86,8 @@ def cosine_top_k(df: DataFrame, vector: str, query: list[float], k: int, key: st
     """The k rows nearest to the query by cosine, then without those below least. Each task keeps k rows, so one row set of k a task is all that moves. Null and zero vectors have no similarity and take no part."""
     asked = F.array(*[F.lit(float(x)) for x in query])
     v = F.col(vector)
-    near = df.withColumn("similarity", dot(v, asked) / (F.sqrt(dot(v, v)) * F.lit(math.sqrt(sum(x * x for x in query))))) if any(query) else df.withColumn("similarity", F.lit(None).cast("double"))
+    length = math.sqrt(sum(x * x for x in query))
+    near = df.withColumn("similarity", F.try_divide(dot(v, asked), F.sqrt(dot(v, v)) * F.lit(length)))
     top = near.where(F.col("similarity").isNotNull() & ~F.isnan("similarity")).orderBy(F.desc("similarity"), key).limit(k)
     return top.where(F.col("similarity") >= least) if least is not None else top
 
