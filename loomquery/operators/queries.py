@@ -70,8 +70,8 @@ case("q_column_names", Plan("column_names"), "nation", "SELECT unnest(['n_nation
 case("q_existence", Plan("existence", filters=f("o_totalprice", "greater_than", 100)), "orders", f"SELECT count(*) > 0 AS {V} FROM orders WHERE o_totalprice > 100")
 case("q_percentage", Plan("percentage", filters=f("l_returnflag", "equals", "R")), "lineitem", f"SELECT round(100.0 * count(*) FILTER (l_returnflag = 'R') / count(*), 6) AS {V} FROM lineitem", 6)
 for name, sql in (("sum", "sum(l_extendedprice)"), ("average", "avg(l_extendedprice)"), ("min", "min(l_extendedprice)"), ("max", "max(l_extendedprice)"), ("median", "quantile_cont(l_extendedprice, 0.5)")):
-    case(f"q_{name}", agg(name, "l_extendedprice"), "lineitem", f"SELECT round({sql}, 2) AS {V} FROM lineitem", 2)
-    case(f"q_group_{name}", agg(name, "l_extendedprice", group_by=("l_returnflag",)), "lineitem", f"SELECT l_returnflag, round({sql}, 2) AS {V} FROM lineitem GROUP BY ALL", 2)
+    case(f"q_{name}", agg(name, "l_extendedprice"), "lineitem", f"SELECT round({sql}, 4) AS {V} FROM lineitem", 4)
+    case(f"q_group_{name}", agg(name, "l_extendedprice", group_by=("l_returnflag",)), "lineitem", f"SELECT l_returnflag, round({sql}, 4) AS {V} FROM lineitem GROUP BY ALL", 4)
 case("q_aggregation_count", agg("count", filters=f("l_quantity", "less_than", 10)), "lineitem", f"SELECT count(*) AS {V} FROM lineitem WHERE l_quantity < 10")
 case("q_min_date", agg("min", "o_orderdate"), "orders", f"SELECT min(o_orderdate) AS {V} FROM orders")
 case("q_group_count", agg("count", group_by=("o_orderpriority",)), "orders", f"SELECT o_orderpriority, count(*) AS {V} FROM orders GROUP BY ALL")
@@ -105,9 +105,9 @@ case("q_join_semi_count", Plan("count", joins=(CO,), filters=f("o_totalprice", "
 case("q_join_left_count", Plan("count", joins=(left(CO),), filters=f("c_custkey", "less_than", 200)), None, f"SELECT count(o_orderkey) AS {V} FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 200")
 PARENT = "FROM (SELECT DISTINCT o_orderkey, o_totalprice AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 25)"
 for name, sql in (("sum", "sum(m)"), ("average", "avg(m)"), ("min", "min(m)"), ("max", "max(m)"), ("median", "quantile_cont(m, 0.5)"), ("count", "count(m)")):
-    case(f"q_fanout_parent_{name}", agg(name, "o_totalprice", joins=(OL,), filters=f("l_quantity", "greater_than", 25)), None, f"SELECT {sql if name == 'count' else f'round({sql}, 2)'} AS {V} {PARENT}", 2)
+    case(f"q_fanout_parent_{name}", agg(name, "o_totalprice", joins=(OL,), filters=f("l_quantity", "greater_than", 25)), None, f"SELECT {sql if name == 'count' else f'round({sql}, 4)'} AS {V} {PARENT}", 4)
 case("q_fanout_grouped_sum", agg("sum", "o_totalprice", joins=(OL,), group_by=("l_returnflag",)), None, f"SELECT l_returnflag, round(sum(m), 2) AS {V} FROM (SELECT DISTINCT o_orderkey, l_returnflag, o_totalprice AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY ALL", 2)
-case("q_fanout_grouped_median", agg("median", "o_totalprice", joins=(OL,), group_by=("l_returnflag",)), None, f"SELECT l_returnflag, round(quantile_cont(m, 0.5), 2) AS {V} FROM (SELECT DISTINCT o_orderkey, l_returnflag, o_totalprice AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY ALL", 2)
+case("q_fanout_grouped_median", agg("median", "o_totalprice", joins=(OL,), group_by=("l_returnflag",)), None, f"SELECT l_returnflag, round(quantile_cont(m, 0.5), 4) AS {V} FROM (SELECT DISTINCT o_orderkey, l_returnflag, o_totalprice AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY ALL", 4)
 case("q_child_sum_preserved", agg("sum", "l_extendedprice", joins=(LO, OC), group_by=("c_mktsegment",)), None, f"SELECT c_mktsegment, round(sum(l_extendedprice), 2) AS {V} FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL", 2)
 case("q_fanout_having", agg("sum", "c_acctbal", joins=(CO,), group_by=("c_mktsegment",), having_filters=f("sum", "greater_than", 1000)), None, f"SELECT c_mktsegment, round(sum(m), 2) AS {V} FROM (SELECT DISTINCT c_custkey, c_mktsegment, c_acctbal AS m FROM customer JOIN orders ON o_custkey = c_custkey) GROUP BY ALL HAVING sum(m) > 1000", 2)
 case("q_join_count_distinct", agg("count", "o_custkey", distinct=True, joins=(OC,), group_by=("c_mktsegment",)), None, f"SELECT c_mktsegment, count(DISTINCT o_custkey) AS {V} FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
@@ -118,7 +118,7 @@ case("q_join_require_all", agg("count", "o_orderkey", joins=(CO,), group_by=("c_
 for outer, sql in (("average", "avg(m)"), ("sum", "sum(m)"), ("min", "min(m)"), ("max", "max(m)"), ("median", "quantile_cont(m, 0.5)")):
     case(f"q_derived_{outer}", Plan("derived_aggregation", aggregation=outer, inner_aggregation="count", group_by=("o_custkey",)), "orders", f"SELECT round(CAST({sql} AS DOUBLE), 4) AS {V} FROM (SELECT CAST(count(*) AS DOUBLE) AS m FROM orders GROUP BY o_custkey)", 4)
 for inner, sql in (("sum", "sum(o_totalprice)"), ("average", "avg(o_totalprice)"), ("min", "min(o_totalprice)"), ("max", "max(o_totalprice)"), ("median", "quantile_cont(o_totalprice, 0.5)")):
-    case(f"q_derived_inner_{inner}", Plan("derived_aggregation", aggregation="average", inner_aggregation=inner, target_columns=("o_totalprice",), group_by=("o_custkey",)), "orders", f"SELECT round(avg(m), 2) AS {V} FROM (SELECT {sql} AS m FROM orders GROUP BY o_custkey)", 2)
+    case(f"q_derived_inner_{inner}", Plan("derived_aggregation", aggregation="average", inner_aggregation=inner, target_columns=("o_totalprice",), group_by=("o_custkey",)), "orders", f"SELECT round(avg(m), 4) AS {V} FROM (SELECT {sql} AS m FROM orders GROUP BY o_custkey)", 4)
 case("q_derived_joined", Plan("derived_aggregation", aggregation="max", inner_aggregation="count", target_columns=("l_orderkey",), group_by=("c_custkey",), joins=(CO, OL)), None, f"SELECT CAST(max(m) AS DOUBLE) AS {V} FROM (SELECT count(l_orderkey) AS m FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey)", 4)
 
 
