@@ -115,13 +115,16 @@ def _plan(docs: DataFrame, p: MixParams) -> DataFrame:
     blocks = blocks.withColumn("part", F.when(F.col("upto") <= F.col("rest"), 2).when(F.col("upto") - F.col("words") < F.col("rest"), 1).otherwise(0))
     blocks = materialize(blocks, "mix-blocks")
 
-    # In the one block of a source that is cut, the documents in hashed order are taken as long as each fits into what is left.
+    # In the one block of a source that is cut, the documents in hashed order are taken as long as each fits into what is left,
+    # and at last the smallest of the others if that comes nearer to the target.
     cut = bounded(materialize(blocks.where("part = 1").select("src_no", "block", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("room")), "mix-cut"), 100_000)
-    fits = "aggregate(units, named_struct('room', room, 'got', cast(array() as array<bigint>)), (a, u) -> if(u.size <= a.room, named_struct('room', a.room - u.size, 'got', array_append(a.got, u.key)), a), a -> a.got)"
+    fits = "aggregate(units, named_struct('room', room, 'got', cast(array() as array<bigint>)), (a, u) -> if(u.size <= a.room, named_struct('room', a.room - u.size, 'got', array_append(a.got, u.key)), a))"
+    spare = "array_sort(transform(filter(units, u -> u.size < 2 * fit.room and not array_contains(fit.got, u.key)), u -> named_struct('size', u.size, 'key', u.key)))"
     chosen = (
         in_blocks(narrow).join(cut, ["src_no", "block"]).groupBy("src_no", "block", "room", "key").agg(F.sum("size").alias("size"))
         .groupBy("src_no", "block", "room").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(p.seed), F.col("key")).alias("at"), "key", F.col("size").cast("double").alias("size")))).alias("units"))
-        .select("src_no", "block", F.expr(fits).alias("chosen"))
+        .select("src_no", "block", "units", F.expr(fits).alias("fit")).select("src_no", "block", F.col("fit.got").alias("got"), F.get(F.expr(spare), F.lit(0))["key"].alias("more"))
+        .select("src_no", "block", F.when(F.col("more").isNull(), F.col("got")).otherwise(F.array_append("got", F.col("more"))).alias("chosen"))
     )
 
     draws = blocks.select("src_no", "block", "rank", "held", "passes", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("epoch"), "part").where("epoch < passes or part > 0")
