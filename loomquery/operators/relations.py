@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomquery.functions.types import family
+from loomquery.plans.cache import JsonCache
 from loomquery.sources.catalog import Catalog
 from loomquery.sources.tpch import catalog
 
@@ -118,13 +119,20 @@ def judge(edge: Edge, counts: dict[str, int]) -> Edge:
     return Edge(edge.left_table, edge.left_column, edge.right_table, edge.right_column, sure, status)
 
 
-def discover(cat: Catalog) -> list[Edge]:
-    """Candidates checked against the data. Errors are raised, not remembered."""
+def discover(cat: Catalog, cache: JsonCache | None = None) -> list[Edge]:
+    """Candidates checked against the data. Errors are raised, not remembered; a cache keeps the verdicts under the catalog's fingerprint."""
+    shape = cat.fingerprint()
+    if cache is not None and (held := cache.read().get(shape)) is not None:
+        out = [Edge(**e) for e in held]
+        cat.validated |= {(e.left_table, e.left_column, e.right_table, e.right_column) for e in out if e.status == "validated"}
+        return out
     out = []
     for e in candidates(cat):
         counts = overlap(cat.table(e.left_table).df, e.left_column, cat.table(e.right_table).df, e.right_column).first().asDict()
         out.append(judge(e, counts))
     cat.validated |= {(e.left_table, e.left_column, e.right_table, e.right_column) for e in out if e.status == "validated"}
+    if cache is not None:
+        cache.put(shape, [asdict(e) for e in out])
     return out
 
 
@@ -138,6 +146,15 @@ class Graph:
                 self.near[e.left_table].append(e)
                 self.near[e.right_table].append(e.turned())
 
+    def ambiguous(self, start: str, end: str, hops: int = 3) -> bool:
+        """True if several shortest paths connect the two."""
+        lengths = sorted(len(p) for p in self.paths(start, end, hops))
+        return len(lengths) > 1 and lengths[0] == lengths[1]
+
+    def bridges(self, start: str, end: str) -> list[str]:
+        """Tables that connect two which no edge does."""
+        return sorted({p[0].right_table for p in self.paths(start, end, 2) if len(p) == 2})
+
     @classmethod
     def declared(cls, cat: Catalog) -> Graph:
         return cls([Edge(f.table, f.columns[0], f.parent, f.parent_columns[0], 1.0, "declared") for f in cat.foreign_keys if len(f.columns) == 1])

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomquery.functions.types import family
+
 DIMENSION, SEED = 384, 42
 TOKEN_WEIGHT, GRAM_WEIGHT, PAIR_WEIGHT = 2.0, 0.5, 3.0
 LEAST_SIMILARITY = 0.05
@@ -92,6 +94,45 @@ def cosine_top_k(df: DataFrame, vector: str, query: list[float], k: int, key: st
     return top.where(F.col("similarity") >= least) if least is not None else top
 
 
+ROLES = (("identifier", ("id", "key", "code", "identifier", "number", "no")), ("name", ("name", "title", "label")), ("description", ("description", "notes", "text", "comment", "summary")), ("category", ("type", "status", "category", "segment", "priority", "flag", "kind", "role")))
+
+
+def role(catalog, table: str, column: str) -> str:
+    """identifier, name, description, category, temporal, boolean, numeric or other: keys first, then the type, then the name."""
+    t = catalog.table(table)
+    words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", column).lower())
+    kind = family(t.df.schema[column].dataType)
+    if column in t.primary_key or words and any(words[-1] == w or words[-1].endswith(w) and w == "key" for w in ROLES[0][1]):
+        return "identifier"
+    if kind in ("temporal", "boolean", "numeric"):
+        return kind
+    return next((r for r, names in ROLES[1:] if any(w.endswith(n) for w in words for n in names)), "other")
+
+
+class VectorStore:
+    """Embedded descriptions of catalogs, as Parquet in one folder a catalog and fingerprint."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def save(self, database: str, catalog) -> None:
+        """Writes the catalog's descriptions; those of its older fingerprints go."""
+        rows = [(o, d, embed(d)) for t in catalog.items.values() for o, d in describe(catalog, t.name)]
+        frame = self.spark.createDataFrame(rows, "object string, description string, embedding array<double>")
+        self.purge(database)
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/database={database}/fingerprint={catalog.fingerprint()}")
+
+    def search(self, database: str, catalog, text: str, k: int = 5) -> DataFrame:
+        frame = self.spark.read.parquet(f"{self.path}/database={database}/fingerprint={catalog.fingerprint()}")
+        return cosine_top_k(frame, "embedding", embed(text), k, "object").select("object", "similarity")
+
+    def purge(self, database: str, fingerprint: str | None = None) -> bool:
+        """Deletes a database's vectors, or those of one fingerprint; true if there were any. Through Spark's file system, wherever the folder is."""
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/database={database}" + (f"/fingerprint={fingerprint}" if fingerprint else ""))
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     query = df.where("vec_id = 7").first()["embedding"]
