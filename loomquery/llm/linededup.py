@@ -2,8 +2,8 @@
 
 A text is cut at its line feeds. A rolling hash over the last WINDOW line hashes ends a chunk where it
 falls in one of DIVISOR classes, so boundaries depend on the lines near them only and a passage is cut
-alike wherever it stands. Chunks of several lines, and single lines of at least LONG_WORDS words, are
-compared over the whole corpus: first by hash, then byte by byte, as the texts themselves are grouping keys.
+alike wherever it stands. A line of at least LONG_WORDS words is a chunk of its own. These and the chunks of
+several lines are compared over the whole corpus: first by hash, then byte by byte, as the texts themselves are grouping keys.
 Of equal chunks the first (least doc_id, then first in its text) stays; the others go.
 
 Everything is DataFrame and SQL functions. The texts of candidate chunks are shuffled once for the byte
@@ -29,6 +29,11 @@ class LineParams:
     seed: int = 42
 
 
+def _long(line: Column, p: LineParams) -> Column:
+    """True for a line of at least long_words words; short ones are told by their length alone."""
+    return (F.length(line) >= 2 * p.long_words - 1) & (F.regexp_count(line, F.lit(WORD)) >= p.long_words)
+
+
 def _cut(text: Column, p: LineParams) -> Column:
     """The chunks of a text, as an array of (first line, lines, text). Joined by line feeds they are the text."""
     lines = F.split(text, "\n", -1)
@@ -41,7 +46,9 @@ def _cut(text: Column, p: LineParams) -> Column:
 
         def ends(h: Column) -> Column:
             rolled = lambda i: F.xxhash64(F.lit(p.seed), *[F.coalesce(F.get(h, i - k), F.lit(0).cast("long")) for k in range(p.window)])
-            last = lambda i: (F.pmod(rolled(i), F.lit(p.divisor)) == 0) | (i == count - 1)
+            # A long line is a chunk of its own, wherever it stands.
+            apart = lambda i: F.coalesce(_long(F.get(lines, i), p), F.lit(False))
+            last = lambda i: (F.pmod(rolled(i), F.lit(p.divisor)) == 0) | (i == count - 1) | apart(i) | apart(i + 1)
             return F.filter(F.sequence(F.lit(0), count - 1), last)
 
         def sliced(e: Column) -> Column:
@@ -57,8 +64,7 @@ def _cut(text: Column, p: LineParams) -> Column:
 def _marked(docs: DataFrame, p: LineParams) -> DataFrame:
     """(doc, id, key, chunks): chunks is an array with each chunk's place, text and hash, and whether it may go."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("text").alias("t"))
-    words = lambda x: F.regexp_count(x, F.lit(WORD))
-    may = lambda c: (c["lines"] > 1) & (F.length(c["text"]) >= c["lines"]) | (words(c["text"]) >= p.long_words)
+    may = lambda c: F.when(c["lines"] > 1, F.length(c["text"]) >= c["lines"]).otherwise(_long(c["text"], p))
     mark = lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.xxhash64(F.lit(p.seed), c["text"]).alias("hash"), may(c).alias("may"), c["text"].alias("text"))
     return whole.select("doc", "id", F.xxhash64("id", "t").alias("key"), F.transform(_cut(F.coalesce("t", F.lit("")), p), mark).alias("chunks"))
 

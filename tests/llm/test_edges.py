@@ -127,6 +127,7 @@ def test_line_dedup_finds_shifted_passages(spark):
         left = [x for x in got[i].split("\n") if x in passage]
         assert len(left) <= 12 and all(x in got[i] for x in text.split("\n") if x not in passage)
     assert got[102] == rows[-1][1]
+    assert got[101] == rows[-2][1].split("\n")[0]  # a long line goes, whatever stands before it
 
 
 def brute_components(values, k):
