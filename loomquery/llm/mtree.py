@@ -78,9 +78,11 @@ class Tree:
 
     def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and scores of the k best (ties: smaller rows), and how many distances were computed."""
-        t, base = self.t, float((q.astype(np.float64) ** 2).sum() + self.most)
+        t, size = self.t, float((q.astype(np.float64) ** 2).sum())
+        base = size + self.most
         slack = 1e-9 * (1 + base) ** 0.5
         lifted = np.append(q.astype(np.float64), 0.0)
+        exact = (size * self.most) ** 0.5 < 2**52  # then products in double precision are whole and exact
         rows, scores, worst, computed = np.zeros(0, np.int64), np.zeros(0, np.int64), np.inf, 0
         queue = [(0.0, 0, np.nan)]
         while queue:
@@ -88,14 +90,20 @@ class Tree:
             if bound > worst:
                 break
             a, b, leaf = self.pages[page]
-            take = np.arange(a, b)
+            take: slice | np.ndarray = slice(a, b)
             if parent == parent and worst < np.inf:
-                take = take[np.abs(parent - t["apart"][a:b]) - t["radius"][a:b] - slack <= worst]
-            if not len(take):
-                continue
-            computed += len(take)
+                near = np.abs(parent - t["apart"][a:b]) - t["radius"][a:b] <= worst + slack
+                if not near.all():
+                    take = a + np.flatnonzero(near)
+                    if not len(take):
+                        continue
+            if isinstance(take, np.ndarray) and 2 * len(take) > b - a:  # most of the page: a product over all of it costs less than picking rows
+                product = (self.entries[a:b] @ lifted)[take - a]
+            else:
+                product = self.entries[take] @ lifted
+            computed += len(product)
             if leaf:
-                got = self.whole[take] @ q
+                got = product.astype(np.int64) if exact else self.whole[take] @ q
                 new_rows = t["object"][take]
                 if len(rows) >= k:
                     good = got >= scores[-1]
@@ -107,10 +115,11 @@ class Tree:
                     if len(rows) >= k:
                         worst = max(0.0, base - 2.0 * float(scores[-1])) ** 0.5 + slack
             else:
-                d = np.sqrt(np.maximum(0.0, base - 2.0 * (self.entries[take] @ lifted)))
+                d = np.sqrt(np.maximum(0.0, base - 2.0 * product))
                 low = np.maximum(0.0, d - t["radius"][take] - slack)
+                below = t["below"][take]
                 for i in np.flatnonzero(low <= worst):
-                    heapq.heappush(queue, (float(low[i]), int(t["below"][take[i]]), float(d[i])))
+                    heapq.heappush(queue, (float(low[i]), int(below[i]), float(d[i])))
         return rows, scores, computed
 
 
