@@ -1,8 +1,8 @@
 """A range coder for token ids: blocks of ids, each coded on its own, many at once in numpy.
 
 An id is one of four cases: what the order-2 context predicts (the id that last followed the same two ids),
-what the order-1 context predicts, one that the order-0 table of recent ids holds (then its slot follows), or a
-new one (then its bits follow). Three models give the cases' probabilities: by the order-2 prediction's record
+what the order-1 context predicts, one that the order-0 table of recent ids holds (then its slot is noted), or a
+new one (then its bits are). Slots and bits are as good as random; they stand beside the coder's output as they are. Three models give the cases' probabilities: by the order-2 prediction's record
 of hits, by the order-1 prediction's, and of the block so far. They are mixed by weights that follow whichever
 model foresaw best, and the mixture drives a carry-less range coder with 16-bit steps. All of it is integer
 arithmetic, so any machine decodes alike. Every block starts from nothing and has a checksum.
@@ -25,46 +25,56 @@ _TOP, _BOT, _S16, _S48 = _U(1 << 48), _U(1 << 32), _U(16), _U(48)
 
 
 class _Model:
-    """Predictions of all blocks, side by side."""
+    """Predictions of all blocks, side by side. Probabilities are 16-bit numbers; that of the last case is what the others leave."""
 
     def __init__(self, n: int) -> None:
         self.rows = np.arange(n)
         self.last1 = np.zeros(n, np.int64)
         self.last2 = np.zeros(n, np.int64)
-        self.t1, self.t2 = (np.zeros((n, 1 << SLOTS), np.uint32) for _ in range(2))
-        self.hits1, self.hits2 = (np.zeros((n, 1 << SLOTS), np.uint8) for _ in range(2))
+        self.base, self.four = self.rows << SLOTS, self.rows << 2
+        self.t1, self.t2 = (np.zeros(n << SLOTS, np.uint32) for _ in range(2))
+        self.hits1, self.hits2 = (np.zeros(n << SLOTS, np.uint8) for _ in range(2))
         self.t0 = np.zeros((n, 1 << RECENT), np.uint32)
-        start = np.array([8000, 8000, 30000, 19536])
-        self.p = np.tile(start, (n, 9, 1)).astype(np.int64)  # by order-2 record: 0-3, order-1 record: 4-7, the block: 8
-        self.w = np.tile(np.array([21846, 21845, 21845]), (n, 1)).astype(np.int64)
-
-    def look(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the first m blocks: the order-2 and order-1 predictions (0: none) and the cases' upper bounds."""
-        r, a, b = self.rows[:m], self.last1[:m], self.last2[:m]
-        self.h1 = (a * 0x9E3779B1 >> 15) & ((1 << SLOTS) - 1)
-        self.h2 = ((a * 0x85EBCA6B + b * 0xC2B2AE35) >> 13) & ((1 << SLOTS) - 1)
-        two, one = self.t2[r, self.h2].astype(np.int64), self.t1[r, self.h1].astype(np.int64)
-        self.at = np.stack([self.hits2[r, self.h2].astype(np.int64), self.hits1[r, self.h1] + 4, np.full(m, 8)], axis=1)
-        self.seen = self.p[r[:, None], self.at]
-        mix = (self.seen * self.w[:m, :, None]).sum(axis=1) >> 16
-        bounds = np.cumsum((mix * 65000 >> 16) + 100, axis=1)
-        bounds[:, 3] = FULL
+        # By the order-2 record of hits, by the order-1 record, and of the block; for each of three cases.
+        self.p = [[np.full(n * k, x, np.int64) for x in (8000, 8000, 30000)] for k in (4, 4, 1)]
+        self.w = [np.full(n, x, np.int64) for x in (21846, 21845, 21845)]
+
+    def look(self, m: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """For the first m blocks: the order-2 and order-1 predictions (0: none) and the upper bounds of three cases."""
+        a, b, base = self.last1[:m], self.last2[:m], self.base[:m]
+        self.h1 = base + ((a * 0x9E3779B1 >> 15) & ((1 << SLOTS) - 1))
+        self.h2 = base + (((a * 0x85EBCA6B + b * 0xC2B2AE35) >> 13) & ((1 << SLOTS) - 1))
+        two, one = self.t2.take(self.h2).astype(np.int64), self.t1.take(self.h1).astype(np.int64)
+        self.at = [self.four[:m] + self.hits2.take(self.h2), self.four[:m] + self.hits1.take(self.h1), None]
+        self.seen = [[c[:m].copy() if at is None else c.take(at) for c in p] for p, at in zip(self.p, self.at)]
+        (a2, a1, a0), (w2, w1, w0), top, bounds = self.seen, (w[:m] for w in self.w), 100, []
+        for x, y, z in zip(a2, a1, a0):
+            top = top + ((x * w2 + y * w1 + z * w0 >> 16) * 65000 >> 16)
+            bounds.append(top)
+            top = top + 100
         return two, one, bounds
 
     def learn(self, m: int, ids: np.ndarray, case: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
-        r = self.rows[:m]
-        goal = np.zeros((m, 4), np.int64)
-        goal[r, case] = FULL
-        best = np.argmax(self.seen[r, :, case], axis=1)
-        self.p[r[:, None], self.at] = self.seen + ((goal[:, None, :] - self.seen) >> 5)
-        bump = np.zeros((m, 3), np.int64)
-        bump[r, best] = FULL
-        self.w[:m] += (bump - self.w[:m]) >> 6
+        was = [case == c for c in range(3)]
+        foresaw = []
+        for p, at, seen in zip(self.p, self.at, self.seen):
+            left = FULL - seen[0] - seen[1] - seen[2]
+            foresaw.append(np.where(was[0], seen[0], np.where(was[1], seen[1], np.where(was[2], seen[2], left))))
+            for held, x, hit in zip(p, seen, was):
+                new = x + ((hit * FULL - x) >> 5)
+                if at is None:
+                    held[:m] = new
+                else:
+                    held[at] = new
+        first = (foresaw[0] >= foresaw[1]) & (foresaw[0] >= foresaw[2])
+        second = ~first & (foresaw[1] >= foresaw[2])
+        for w, best in zip(self.w, (first, second, ~first & ~second)):
+            w[:m] += (best * FULL - w[:m]) >> 6
         held = ids + 1
-        for t, hits, h, was in ((self.t2, self.hits2, self.h2, two), (self.t1, self.hits1, self.h1, one)):
-            hits[r, h] = np.where(was == held, np.minimum(hits[r, h] + 1, 3), 0)
-            t[r, h] = held
-        self.t0[r, self.slot(ids)] = held
+        for t, hits, h, guess in ((self.t2, self.hits2, self.h2, two), (self.t1, self.hits1, self.h1, one)):
+            hits[h] = np.where(guess == held, np.minimum(hits.take(h) + 1, 3), 0)
+            t[h] = held
+        self.t0[self.rows[:m], self.slot(ids)] = held
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = held
 
@@ -73,6 +83,12 @@ class _Model:
         return (ids * 40503 >> 4) & ((1 << RECENT) - 1)
 
 
+def _between(case: np.ndarray, bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    a, b, c = bounds
+    upper = np.where(case == 0, a, np.where(case == 1, b, np.where(case == 2, c, FULL)))
+    return np.where(case == 0, 0, np.where(case == 1, a, np.where(case == 2, b, c))), upper
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """ids: unsigned 32-bit numbers below 2**32 - 1. The coded blocks with their table of lengths and checksums."""
     n = -(-len(ids) // block)
@@ -84,26 +100,24 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     grid.ravel()[: len(ids)] = ids
     model = _Model(n)
     low, span = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
-    out, used = np.zeros((n, block * (6 if wide else 4) + 8), np.uint16), np.zeros(n, np.int64)
-
-    def put(which: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        a, s = low[which], span[which] >> _S16
-        a = a + s * start.astype(_U)
-        s = s * size.astype(_U)
-        rows = np.arange(n)[which]
-        while True:
+    out, used = np.zeros((n, block + 12), np.uint16), np.zeros(n, np.int64)  # a case takes less than 16 bits
+    cases, slots = np.zeros((n, block), np.uint8), np.zeros((n, block), np.uint16)
+
+    def put(m: int, start: np.ndarray, size: np.ndarray) -> None:
+        s = span[:m] >> _S16
+        low[:m] += s * start.astype(_U)
+        span[:m] = s * size.astype(_U)
+        i = np.arange(m)
+        while len(i):
+            a, s = low[i], span[i]
             settled = (a ^ (a + s)) < _TOP
             short = ~settled & (s < _BOT)
-            i = np.flatnonzero(settled | short)
-            if not len(i):
-                break
-            j = np.flatnonzero(short)
-            s[j] = (_U(0) - a[j]) & (_BOT - _U(1))
-            out[rows[i], used[rows[i]]] = (a[i] >> _S48).astype(np.uint16)
-            used[rows[i]] += 1
-            a[i] <<= _S16
-            s[i] <<= _S16
-        low[which], span[which] = a, s
+            live = settled | short
+            i, a, s, short = i[live], a[live], s[live], short[live]
+            s = np.where(short, (_U(0) - a) & (_BOT - _U(1)), s)
+            out[i, used[i]] = a >> _S48
+            used[i] += 1
+            low[i], span[i] = a << _S16, s << _S16
 
     with np.errstate(over="ignore"):
         for t in range(min(block, len(ids))):
@@ -114,24 +128,23 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
             two, one, bounds = model.look(m)
             slot = model.slot(x)
             case = np.where(two == x + 1, 0, np.where(one == x + 1, 1, np.where(model.t0[model.rows[:m], slot] == x + 1, 2, 3)))
-            upper = bounds[model.rows[:m], case]
-            lower = np.where(case > 0, bounds[model.rows[:m], np.maximum(case - 1, 0)], 0)
-            put(slice(0, m), lower, upper - lower)
-            rest = np.flatnonzero(case >= 2)
-            if len(rest):
-                known = case[rest] == 2
-                step = FULL >> RECENT
-                put(rest, np.where(known, slot[rest] * step, x[rest] & (FULL - 1)), np.where(known, step, 1))
-                if wide and len(new := rest[~known]):
-                    put(new, x[new] >> 16, np.ones(len(new), np.int64))
+            lower, upper = _between(case, bounds)
+            put(m, lower, upper - lower)
+            cases[:m, t], slots[:m, t] = case, slot
             model.learn(m, x, case, two, one)
     for k in range(4):
         out[np.arange(n), used] = ((low >> _U(48 - 16 * k)) & _U(0xFFFF)).astype(np.uint16)
         used += 1
     raw = np.ascontiguousarray(ids, "<u4")
-    sums = [zlib.crc32(raw[i * block : (i + 1) * block]) for i in range(n)]
-    table = np.stack([sizes, used, np.array(sums, np.int64)], axis=1).astype("<u4") if n else np.zeros((0, 3), "<u4")
-    return MAGIC + struct.pack("<IIB", block, n, wide) + table.tobytes() + b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(n))
+    table, body = np.zeros((n, 5), "<u4"), []
+    for i in range(n):
+        size = int(sizes[i])
+        kind, x = cases[i, :size], raw[i * block : i * block + size]
+        known, new = slots[i, :size][kind == 2], x[kind == 3]
+        bits = np.unpackbits(known.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, 16 - RECENT :]
+        body += [out[i, : used[i]].astype("<u2").tobytes(), np.packbits(bits).tobytes(), new.astype("<u4" if wide else "<u2").tobytes()]
+        table[i] = size, used[i], len(known), len(new), zlib.crc32(x)
+    return MAGIC + struct.pack("<IIB", block, n, wide) + table.tobytes() + b"".join(body)
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -140,15 +153,26 @@ def decode(data: bytes) -> np.ndarray:
     if data[:4] != MAGIC or len(data) < head:
         raise ValueError("no coded ids")
     block, n, wide = struct.unpack_from("<IIB", data, 4)
-    if len(data) < head + 12 * n:
+    if len(data) < head + 20 * n:
         raise ValueError("the table of blocks is cut off")
-    table = np.frombuffer(data, "<u4", 3 * n, head).reshape(n, 3).astype(np.int64)
-    sizes, words, sums = table.T
-    if len(data) != head + 12 * n + 2 * int(words.sum()) or (n and (sizes[:-1] != block).any()) or (n and not 0 < sizes[-1] <= block):
+    table = np.frombuffer(data, "<u4", 5 * n, head).reshape(n, 5).astype(np.int64)
+    sizes, words, known, new, sums = table.T
+    id_bytes, slot_bytes = 4 if wide else 2, (known * RECENT + 7) // 8
+    ends = head + 20 * n + np.cumsum(2 * words + slot_bytes + id_bytes * new)
+    if len(data) != (int(ends[-1]) if n else head) or (n and ((sizes[:-1] != block).any() or not 0 < sizes[-1] <= block)):
         raise ValueError("the blocks are cut off")
-    read = np.frombuffer(data, "<u2", -1, head + 12 * n)
-    at = np.cumsum(words) - words
-    tape = np.concatenate([read, np.zeros(8, np.uint16)]).astype(_U)
+    tapes, slots, news = [], [], []
+    for i in range(n):
+        at = int(ends[i] - id_bytes * new[i] - slot_bytes[i] - 2 * words[i])
+        tapes.append(np.frombuffer(data, "<u2", int(words[i]), at))
+        at += 2 * int(words[i])
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, int(slot_bytes[i]), at), count=int(known[i]) * RECENT).reshape(-1, RECENT)
+        slots.append(bits @ (1 << np.arange(RECENT - 1, -1, -1)))
+        news.append(np.frombuffer(data, "<u4" if wide else "<u2", int(new[i]), at + int(slot_bytes[i])).astype(np.int64))
+    # Each block reads on from its own place; a zero past the end is met only in damaged blocks.
+    join = lambda parts, pad: np.concatenate([*parts, np.zeros(pad, np.int64)])
+    tape, slot_tape, new_tape = join(tapes, 8).astype(_U), join(slots, 1), join(news, 1)
+    at, slot_at, new_at = (np.cumsum(c) - c for c in (words, known, new))
     model = _Model(n)
     low, span, code = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U), np.zeros(n, _U)
     for k in range(4):
@@ -156,51 +180,37 @@ def decode(data: bytes) -> np.ndarray:
     at = at + 4
     grid = np.zeros((n, block), np.uint32)
 
-    def peek(which: np.ndarray | slice) -> np.ndarray:
-        s = span[which] >> _S16
-        return np.minimum((code[which] - low[which]) // s, _U(FULL - 1)).astype(np.int64)
-
-    def take(which: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        a, s, c = low[which], span[which] >> _S16, code[which]
-        a = a + s * start.astype(_U)
-        s = s * size.astype(_U)
-        rows = np.arange(n)[which]
-        while True:
+    def take(m: int, start: np.ndarray, size: np.ndarray) -> None:
+        s = span[:m] >> _S16
+        low[:m] += s * start.astype(_U)
+        span[:m] = s * size.astype(_U)
+        i = np.arange(m)
+        while len(i):
+            a, s = low[i], span[i]
             settled = (a ^ (a + s)) < _TOP
             short = ~settled & (s < _BOT)
-            i = np.flatnonzero(settled | short)
-            if not len(i):
-                break
-            j = np.flatnonzero(short)
-            s[j] = (_U(0) - a[j]) & (_BOT - _U(1))
-            a[i] <<= _S16
-            s[i] <<= _S16
-            c[i] = c[i] << _S16 | tape[np.minimum(at[rows[i]], len(tape) - 1)]
-            at[rows[i]] += 1
-        low[which], span[which], code[which] = a, s, c
+            live = settled | short
+            i, a, s, short = i[live], a[live], s[live], short[live]
+            s = np.where(short, (_U(0) - a) & (_BOT - _U(1)), s)
+            low[i], span[i] = a << _S16, s << _S16
+            code[i] = code[i] << _S16 | tape.take(at[i], mode="clip")
+            at[i] += 1
 
     with np.errstate(over="ignore", divide="ignore"):
         for t in range(block if n > 1 else int(sizes[0]) if n else 0):
             m = n if t < sizes[-1] else n - 1
-            r = model.rows[:m]
             two, one, bounds = model.look(m)
-            v = peek(slice(0, m))
-            case = (v[:, None] >= bounds[:, :3]).sum(axis=1)
-            lower = np.where(case > 0, bounds[r, np.maximum(case - 1, 0)], 0)
-            take(slice(0, m), lower, bounds[r, case] - lower)
+            v = np.minimum((code[:m] - low[:m]) // (span[:m] >> _S16), _U(FULL - 1)).astype(np.int64)
+            case = (v >= bounds[0]).astype(np.int64) + (v >= bounds[1]) + (v >= bounds[2])
+            lower, upper = _between(case, bounds)
+            take(m, lower, upper - lower)
             x = np.where(case == 0, two, one) - 1
-            rest = np.flatnonzero(case >= 2)
-            if len(rest):
-                known = case[rest] == 2
-                step = FULL >> RECENT
-                v = peek(rest)
-                v = np.where(known, v // step * step, v)
-                take(rest, v, np.where(known, step, 1))
-                x[rest] = np.where(known, model.t0[rest, np.where(known, v // step, 0)].astype(np.int64) - 1, v)
-                if wide and len(new := rest[~known]):
-                    high = peek(new)
-                    take(new, high, np.ones(len(new), np.int64))
-                    x[new] |= high << 16
+            rest = np.flatnonzero(case == 2)
+            x[rest] = model.t0[rest, slot_tape.take(slot_at[rest], mode="clip")].astype(np.int64) - 1
+            slot_at[rest] += 1
+            rest = np.flatnonzero(case == 3)
+            x[rest] = new_tape.take(new_at[rest], mode="clip")
+            new_at[rest] += 1
             x = np.maximum(x, 0)  # only damage makes it negative
             grid[:m, t] = x
             model.learn(m, x, case, two, one)
