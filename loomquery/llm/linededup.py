@@ -44,10 +44,10 @@ def _cut(text: Column, p: LineParams) -> Column:
         count = F.size(lines)
         hashes = F.transform(lines, lambda x: F.xxhash64(x))
 
-        def ends(h: Column) -> Column:
+        def ends(h: Column, long: Column) -> Column:
             rolled = lambda i: F.xxhash64(F.lit(p.seed), *[F.coalesce(F.get(h, i - k), F.lit(0).cast("long")) for k in range(p.window)])
             # A long line is a chunk of its own, wherever it stands.
-            apart = lambda i: F.coalesce(_long(F.get(lines, i), p), F.lit(False))
+            apart = lambda i: F.coalesce(F.get(long, i), F.lit(False))
             last = lambda i: (F.pmod(rolled(i), F.lit(p.divisor)) == 0) | (i == count - 1) | apart(i) | apart(i + 1)
             return F.filter(F.sequence(F.lit(0), count - 1), last)
 
@@ -56,7 +56,7 @@ def _cut(text: Column, p: LineParams) -> Column:
             one = lambda end, i: F.struct(first(i).alias("first"), (end - first(i) + 1).alias("lines"), F.array_join(F.slice(lines, first(i) + 1, end - first(i) + 1), "\n").alias("text"))
             return F.transform(e, one)
 
-        return let(hashes, lambda h: let(ends(h), sliced))
+        return let(hashes, lambda h: let(F.transform(lines, lambda x: _long(x, p)), lambda long: let(ends(h, long), sliced)))
 
     return let(lines, chunks)
 
