@@ -252,63 +252,184 @@ def classes(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
     return marked.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _votes(hashes: np.ndarray) -> np.ndarray:
-    """The SimHash of each row of hashes' columns: (words,) of 64 bits from (n, words)."""
-    n, wide = hashes.shape
-    votes = np.zeros(64 * wide, np.int64)
-    for at in range(0, n, 255):
-        votes += np.add.reduce(np.unpackbits(hashes[at : at + 255].astype(">u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(votes * 2 > n).view(">u8").astype(np.uint64)
+#: A MinHash of BANDS times BAND_ROWS numbers: at a similarity of 0.8 a pair shares a band in all but 4 of a million cases.
+BANDS, BAND_ROWS = 24, 4
+#: Equal numbers of the MinHash below which a pair is not compared: 5 standard deviations below 0.8.
+LEAST_EQUAL = 57
+#: Items of one band: up to SMALL all their pairs are candidates at once, over BLOCK they are dealt out as pairs of blocks.
+SMALL, BLOCK = 32, 4096
 
 
-def signature(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Five 64-bit words: the SimHash of a text's distinct words, and one of 256 bits of its word shingles; zeros without words."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; of all words together if they are fewer, none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(5, np.uint64)
+        return np.zeros(0, np.uint64)
     known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
-    single = np.fromiter(known.values(), np.uint64, len(known))
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n, mixed = max(1, len(words) - shingle + 1), np.zeros(max(1, len(words) - shingle + 1), np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    mixed = np.zeros(n, np.uint64)
     for i in range(min(shingle, len(words))):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    mixed = np.unique(mixed)
-    many = []
-    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-        x = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(odd)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        many.append(x ^ (x >> np.uint64(32)))
-    return np.concatenate([_votes(single[:, None]), _votes(np.stack(many, axis=1))])
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def near_classes(docs: DataFrame, k: int = 6, most: int = 48) -> DataFrame:
-    """Per row of docs: doc_id and component_id, the least doc_id of its near copies, itself included.
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """True if the Jaccard similarity of two shingle sets is at least 0.8."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
 
-    Two texts are near copies if the SimHashes of their distinct words differ in at most k bits and those of their
-    five-word shingles, of 256 bits, in at most so many: 48 is where the shingle sets have a similarity of about 0.75,
-    so nearly all pairs of 0.8 and more are within it. Null and empty texts are copies of one another. A null doc_id is a row like any other.
-    """
 
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        rows = np.array([signature(t) for t in texts], np.uint64).reshape(-1, 5).view(np.int64)
-        return pd.DataFrame(rows, columns=["bits", *SIGNS])
-
-    kind = ", ".join(f"{c} long" for c in ("bits", *SIGNS))
-    marked = docs.select("doc_id", F.pandas_udf(sign, kind)("text").alias("s")).select("doc_id", "s.*")
-    marked = materialize(marked.withColumn("item", F.xxhash64("bits", *SIGNS)), "near")
-    distinct = materialize(marked.groupBy("item").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("bits", *SIGNS)]), "near-distinct")
-    labels = components(materialize(links(distinct, k, most), "near-links"))
-    linked = distinct.select("item", "first_id").join(labels, F.col("item") == F.col("node"), "left").select("item", "first_id", F.coalesce("label", "item").alias("label"))
-    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = bounded(materialize(linked.join(least, "label").select("item", "component_id"), "near-classes"), 1_000_000)
-    return marked.join(named, "item").select("doc_id", "component_id")
+_TURNS = np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
+_TURNS[1] |= 1
+
+
+def minhash(x: np.ndarray) -> np.ndarray:
+    """BANDS * BAND_ROWS numbers; two sets agree in each with a chance of their similarity."""
+    least = np.full(BANDS * BAND_ROWS, 2**32 - 1, np.uint32)
+    x = (x >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 2048):
+        least = np.minimum(least, ((x[at : at + 2048, None] ^ _TURNS[0]) * _TURNS[1]).min(axis=0))
+    return least
+
 
+def _band_values(least: np.ndarray) -> np.ndarray:
+    rows, out = least.reshape(BANDS, BAND_ROWS).astype(np.uint64), np.arange(BANDS, dtype=np.uint64)
+    for i in range(BAND_ROWS):
+        out = (out ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
-def one_of_each(docs: DataFrame, k: int = 6, most: int = 48) -> DataFrame:
+
+def _candidates(every: bool, group: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): pairs of items that share a band and whose sizes and MinHashes allow a similarity of 0.8.
+
+    Of small bands, all such pairs. Of a large one, a spanning forest by the greatest estimates; with every, all pairs across labels.
+    """
+    group = group.sort_values(["band", "item"])
+    item, size, label = (group[c].to_numpy(np.int64) for c in ("item", "size", "label"))
+    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(item), -1)
+    n, a, b = len(item), [], []
+
+    def equal(i: int, j: slice) -> np.ndarray:
+        same = (sketch[j] == sketch[i]).sum(axis=1, dtype=np.int64)
+        fits = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+        return np.where(fits & (same >= LEAST_EQUAL), same, -1)
+
+    if not group["alone"].iloc[0]:
+        band = group["band"].to_numpy(np.int64)
+        for by in range(1, SMALL):
+            i = np.flatnonzero(band[:-by] == band[by:]) if by < n else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            i = i[5 * np.minimum(size[i], size[i + by]) >= 4 * np.maximum(size[i], size[i + by])]
+            for at in range(0, len(i), 100_000):
+                part = i[at : at + 100_000]
+                part = part[(sketch[part] == sketch[part + by]).sum(axis=1) >= LEAST_EQUAL]
+                a.append(item[part])
+                b.append(item[part + by])
+    elif every:
+        if (label != label[0]).any():
+            for i in range(n - 1):
+                j = i + 1 + np.flatnonzero((equal(i, slice(i + 1, n)) >= 0) & (label[i + 1 :] != label[i]))
+                a.append(np.full(len(j), item[i]))
+                b.append(item[j])
+    else:
+        best, known, out, at = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool), 0
+        for _ in range(n - 1):
+            out[at] = False
+            same = equal(at, slice(0, n))
+            better = same > best
+            best[better], known[better] = same[better], at
+            at = int(np.argmax(np.where(out, best, -2)))
+            if best[at] >= 0:
+                a.append(item[known[at] : known[at] + 1])
+                b.append(item[at : at + 1])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _candidate_pairs(held: DataFrame, every: bool = False, block: int = BLOCK) -> DataFrame:
+    """held: (item, size, sketch, label, band, n), a row for each band that an item shares; n is how many items the band has."""
+    buckets = max(1, held.count() // BUCKET_ROWS)
+    alone = F.col("n") > SMALL
+    rows = held.withColumns({"alone": alone, "bucket": F.when(alone, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(buckets)))})
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    pairs = rows.select("item", "size", "sketch", "label", "band", "alone", "bucket", "lo", "hi").groupBy("alone", "bucket", "lo", "hi").applyInPandas(lambda group: _candidates(every, group), "a long, b long")
+    return materialize(pairs.distinct(), "near-pairs")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose texts' shingle sets have a similarity of at least 0.8."""
+
+    @F.pandas_udf("boolean")
+    def close(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similar(shingle_set(x), shingle_set(y)) for x, y in zip(left, right)], dtype=bool)
+
+    side = lambda c: texts.select(F.col("item").alias(c), F.col("text").alias(f"text_{c}"))
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close("text_a", "text_b")).select("a", "b"), "near-links")
+
+
+def near_items(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, item) of every row, where key is the text's hash and item its shingle set's, and (node, label) of the items that have near copies.
+
+    Two texts are near copies if the sets of their five-word shingles have a similarity of at least 0.8. Candidates share a band of
+    the sets' MinHash and are then compared shingle by shingle, so no other pair is linked. Of a band that many share, first a spanning
+    forest is compared, then all pairs that this has left apart: every candidate is compared or already joined.
+    """
+
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        import xxhash
+
+        rows = []
+        for t in texts:
+            x = shingle_set(t)
+            least = minhash(x)
+            rows.append((_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)), len(x), ((least >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes(), _band_values(least).view(np.int64) if len(x) else []))
+        return pd.DataFrame(rows, columns=["item", "size", "sketch", "bands"])
+
+    marked = docs.select("doc_id", F.xxhash64("text").alias("key"), F.pandas_udf(sign, "item long, size long, sketch binary, bands array<long>")("text").alias("s")).select("doc_id", "key", "s.*")
+    marked = materialize(marked, "near")
+    distinct = materialize(marked.where("size > 0").groupBy("item").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("size", "sketch", "bands")]), "near-distinct")
+    routed = distinct.select("item", F.explode("bands").alias("band"))
+    shared = routed.join(routed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band")
+    held = materialize(shared.join(distinct.select("item", "size", "sketch"), "item").withColumn("label", F.col("item")), "near-bands")
+    pairs = _candidate_pairs(held)
+    crowd = held.where(F.col("n") > SMALL)
+    wanted = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).union(crowd.select("item")).distinct()
+    keys = bounded(materialize(distinct.select("item", "key").join(wanted, "item"), "near-wanted"), 1_000_000)
+    texts = materialize(docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").dropDuplicates(["item"]).select("item", "text"), "near-texts")
+    edges = _verified(pairs, texts)
+    labels = components(edges)
+    if crowd.limit(1).count():
+        named = labels.select(F.col("node").alias("item"), F.col("label").alias("found"))
+        apart = materialize(crowd.join(named, "item", "left").withColumn("label", F.coalesce("found", "item")).drop("found"), "near-crowd")
+        rest = _candidate_pairs(apart, every=True)
+        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+        if rest.limit(1).count():
+            labels = components(edges.union(_verified(rest, texts)))
+    return marked.select("doc_id", "key", "item"), labels
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id and component_id, the least doc_id of its near copies, itself included. Null and empty texts are copies of one another. A null doc_id is a row like any other."""
+    marked, labels = near_items(docs)
+    labels = bounded(labels, 1_000_000)
+    linked = materialize(marked.join(labels, F.col("item") == F.col("node"), "left").select("doc_id", F.coalesce("label", "item").alias("label")), "near-labels")
+    least = bounded(materialize(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "near-classes"), 1_000_000)
+    return linked.join(least, "label").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each class of near copies: the one with the least doc_id stays, whole and once (of rows that share it, one whose text hashes least). Columns and null texts: as they are."""
-    found = near_classes(docs, k, most)
+    found = near_classes(docs)
     stays = materialize(found.groupBy(F.col("component_id").alias("stays")).agg(F.count(F.lit(1)).alias("n")), "near-stays").select("stays")
     cols = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.select(F.struct(*cols).alias("doc"), F.col("doc_id").alias("id")).join(bounded(stays, 1_000_000), F.col("id").eqNullSafe(F.col("stays")), "left_semi")
