@@ -4,7 +4,7 @@ A text is cut at its line feeds. A rolling hash over the last WINDOW line hashes
 falls in one of DIVISOR classes, so boundaries depend on the lines near them only and a passage is cut
 alike wherever it stands. A line of at least LONG_WORDS words is a chunk of its own. These and the chunks of
 several lines are compared over the whole corpus: first by hash, then byte by byte, as the texts themselves are grouping keys.
-Of equal chunks the first (least doc_id, then first in its text) stays; the others go.
+Of equal chunks the first (least doc_id, of documents that share it the one whose text hashes least, then first in its text) stays; the others go.
 
 Everything is DataFrame and SQL functions. The texts of candidate chunks are shuffled once for the byte
 comparison, and those documents that lose lines once more; a chunk that stands in a third of the documents is
@@ -76,12 +76,14 @@ def repeats(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     twice = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     twice = bounded(materialize(twice, "lines-hashes"), 2_000_000)
     # Byte comparison: the text itself is the key. A hash that stands for two texts is not used.
-    same = rows.select("id", "c.hash", "c.text").join(twice, "hash", "left_semi").groupBy("hash", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper"))
-    kept = same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("texts = 1 and n > 1").select("hash", "keeper")
+    same = rows.select("c.hash", "c.text").join(twice, "hash", "left_semi").groupBy("hash", "text").agg(F.count(F.lit(1)).alias("n"))
+    kept = same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n")).where("texts = 1 and n > 1").select("hash")
     kept = bounded(materialize(kept, "lines-kept"), 1_000_000)
-    found = places.join(kept, "hash").groupBy("id", "key", "hash", "keeper").agg(F.collect_set("first").alias("firsts"))
+    found = materialize(places.join(kept, "hash").groupBy("id", "key", "hash").agg(F.collect_set("first").alias("firsts")), "lines-found")
+    keepers = bounded(materialize(found.groupBy("hash").agg(F.min(F.struct("id", "key")).alias("keeper")), "lines-keepers"), 1_000_000)
+    found = found.join(keepers, "hash")
     # In the keeper the first of them stays.
-    gone = F.when(F.col("id") > F.col("keeper"), F.col("firsts")).otherwise(F.array_except("firsts", F.array(F.array_min("firsts"))))
+    gone = F.when(F.struct("id", "key") != F.col("keeper"), F.col("firsts")).otherwise(F.array_except("firsts", F.array(F.array_min("firsts"))))
     return found.select("id", "key", gone.alias("g")).where(F.size("g") > 0).groupBy("id", "key").agg(F.flatten(F.collect_list("g")).alias("gone"))
 
 

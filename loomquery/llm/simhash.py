@@ -418,25 +418,21 @@ def near_items(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.select("doc_id", "key", "item"), labels
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id and component_id, the least doc_id of its near copies, itself included. Null and empty texts are copies of one another. A null doc_id is a row like any other."""
-    marked, labels = near_items(docs)
-    labels = bounded(labels, 1_000_000)
-    linked = materialize(marked.join(labels, F.col("item") == F.col("node"), "left").select("doc_id", F.coalesce("label", "item").alias("label")), "near-labels")
-    least = bounded(materialize(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "near-classes"), 1_000_000)
-    return linked.join(least, "label").select("doc_id", "component_id")
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each class of near copies: the one with the least doc_id stays, whole and once (of rows that share it, one whose text hashes least). Columns and null texts: as they are."""
-    found = near_classes(docs)
-    stays = materialize(found.groupBy(F.col("component_id").alias("stays")).agg(F.count(F.lit(1)).alias("n")), "near-stays").select("stays")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.select(F.struct(*cols).alias("doc"), F.col("doc_id").alias("id")).join(bounded(stays, 1_000_000), F.col("id").eqNullSafe(F.col("stays")), "left_semi")
-    # Rows that repeat an id are rare: they are put aside, and one of each stays.
-    ids = materialize(docs.groupBy(F.col("doc_id").alias("many")).agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("first")).where("n > 1"), "near-repeated")
-    if not ids.limit(1).count():
+    """docs without all but one row of each class of near copies: the one of the least (doc_id, hash of the text) stays, whole and once; a null doc_id is the largest.
+
+    Null and empty texts are copies of one another. Rows that share a doc_id, null or not, are a class only if their texts are. Columns and null texts: as they are.
+    """
+    marked, labels = near_items(docs)
+    linked = marked.join(bounded(labels, 1_000_000), F.col("item") == F.col("node"), "left").select("doc_id", "key", F.coalesce("label", "item").alias("label"))
+    first = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"))
+    stays = bounded(materialize(first.select(F.col("s.doc_id").alias("stays"), F.col("s.key").alias("stays_key")), "near-stays"), 1_000_000)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    kept = held.join(stays, (F.col("key") == F.col("stays_key")) & F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    # Rows that repeat both are rare: they are put aside, and one of each stays.
+    twice = materialize(marked.groupBy(F.col("doc_id").alias("many"), F.col("key").alias("many_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-repeated")
+    if not twice.limit(1).count():
         return kept.select("doc.*")
-    ids = bounded(ids, 1_000_000)
-    rest = kept.join(ids, F.col("id").eqNullSafe(F.col("many"))).where(F.xxhash64("doc.text") == F.col("first")).dropDuplicates(["many", "first"])
-    return kept.join(ids, F.col("id").eqNullSafe(F.col("many")), "left_anti").select("doc.*").union(rest.select("doc.*"))
+    twice, same = bounded(twice, 1_000_000), (F.col("key") == F.col("many_key")) & F.col("id").eqNullSafe(F.col("many"))
+    rest = kept.join(twice, same, "left_semi").dropDuplicates(["id", "key"])
+    return kept.join(twice, same, "left_anti").select("doc.*").union(rest.select("doc.*"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from loomquery.llm import simhash
+from loomquery.llm import linededup, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -58,3 +58,21 @@ def test_a_crowd_of_copies_of_copies(spark):
     assert kept(spark, rows) == {rows[x][0] for x in set(up)}
     crowd = [(n, " ".join(rows[0][1].split()[: 200 - n % 3] + [f"z{n}"])) for n in range(120)]  # one band for all
     assert kept(spark, crowd) == {0}
+
+
+def test_null_and_repeated_ids_are_rows_like_any_other(spark):
+    rng = np.random.default_rng(14)
+    text = lambda: " ".join(zipf(rng, 60))
+    own = [text() for _ in range(9)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[2]), (None, own[2]), (7, own[3]), (7, own[4]), (7, own[4]), (1, own[5]), (7, own[5]), (None, own[5]), (2, own[6]), (2, own[6] + " more")]
+    got = sorted(map(tuple, simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert len(got) == 7 and {t for _, t in got} - {own[6] + " more"} <= set(own[:7])
+    assert {(i, t) for i, t in got if t in own[:6]} == {(None, own[0]), (None, own[1]), (None, own[2]), (7, own[3]), (7, own[4]), (1, own[5])}
+
+
+def test_lines_repeated_among_documents_without_an_id_of_their_own(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    for i in (None, 5):
+        rows = [(i, f"{passage}\nown line {n}") for n in range(4)]
+        got = [r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()]
+        assert sum(passage in t for t in got) == 1 and all(any(f"own line {n}" in t for t in got) for n in range(4))
