@@ -6,7 +6,7 @@ before the joins' deduplication and so reach the scans; only the columns a plan
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +72,7 @@ class Scope:
     tables: list[str]
     frame: DataFrame
     left_joined: list[str]
+    capped: bool = True  # ROW_CAP holds where the plan sets no limit
 
     @property
     def joined(self) -> bool:
@@ -241,9 +242,9 @@ def lookup(s: Scope) -> DataFrame:
     if unique:
         frame = frame.select(*made).distinct()
         shown = None if sort is None else next((F.col(f"`{t}`") for t in targets if s.ref(t) == sort), F.col(f"`{sort.column}`"))
-        return _ordered(frame, shown, descending, p)
+        return _ordered(frame, shown, descending, p, cap=s.capped)
     frame = frame.select(*made, *([col(sort).alias("__sort")] if sort is not None else []))
-    out = _ordered(frame, F.col("__sort") if sort is not None else None, descending, p)
+    out = _ordered(frame, F.col("__sort") if sort is not None else None, descending, p, cap=s.capped)
     return out.drop("__sort")
 
 
@@ -264,7 +265,7 @@ def _sorted_groups(s: Scope, frame: DataFrame) -> DataFrame:
     """Groups by their value, a key or the measure. Over one table NULLs stand as the database has them (first if descending); over joins last."""
     p = s.plan
     if not p.sort_column:
-        return _ordered(frame, F.col(VALUE) if p.include_ties and p.limit else None, True, p, cap=s.joined)
+        return _ordered(frame, F.col(VALUE) if p.include_ties and p.limit else None, True, p, cap=s.joined and s.capped)
     name = p.sort_column
     by = F.col(VALUE)
     if name.lower() not in VIRTUAL and not any(name.lower() == t.lower() for t in p.target_columns):
@@ -274,7 +275,7 @@ def _sorted_groups(s: Scope, frame: DataFrame) -> DataFrame:
             by = F.col(f"`{same[0]}`")
         elif not s.joined:
             raise PlanError(f"groups cannot be sorted by {name!r}")
-    return _ordered(frame, by, (p.sort_direction or "asc").lower() == "desc", p, nulls_first=not s.joined, cap=s.joined)
+    return _ordered(frame, by, (p.sort_direction or "asc").lower() == "desc", p, nulls_first=not s.joined, cap=s.joined and s.capped)
 
 
 def _resolves(s: Scope, name: str) -> bool:
@@ -369,8 +370,8 @@ def derived(s: Scope) -> DataFrame:
     return groups.agg(aggregate(p.aggregation, F.col(VALUE).cast("double")).alias(VALUE))
 
 
-def compile_plan(catalog: Catalog, plan: Plan, table: str | None = None) -> DataFrame:
-    """The plan's result, lazily. Scalars are one row of one column; existence is a boolean, column names are rows."""
+def compile_plan(catalog: Catalog, plan: Plan, table: str | None = None, capped: bool = True) -> DataFrame:
+    """The plan's result, lazily. Scalars are one row of one column; existence is a boolean, column names are rows. Unless capped, ROW_CAP does not hold."""
     if plan.intent == "unsupported":
         raise PlanError(plan.explanation or "the question cannot be answered from the catalog")
     if plan.intent in ("column_count", "column_names") and not plan.joins:
@@ -379,7 +380,7 @@ def compile_plan(catalog: Catalog, plan: Plan, table: str | None = None) -> Data
         if plan.intent == "column_count":
             return spark.range(1).select(F.lit(len(t.df.columns)).cast("long").alias(VALUE))
         return spark.range(1).select(F.posexplode(F.array(*map(F.lit, t.df.columns))).alias("position", "column_name")).orderBy("position").select("column_name")
-    s = scope(catalog, plan, table)
+    s = replace(scope(catalog, plan, table), capped=capped)
     if plan.intent == "derived_aggregation":
         return derived(s)
     if plan.intent == "existence":

@@ -130,7 +130,7 @@ def rounded(df: DataFrame, digits: int | None) -> DataFrame:
 def run_case(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, table, digits, _ = CASES[name]
     tables = plan.tables() or [table]
-    df = compile_plan(catalog(spark, sf_dir, tables), plan, table)
+    df = compile_plan(catalog(spark, sf_dir, tables), plan, table, capped=name == "q_row_cap")
     if name == "q_row_cap":  # which rows a cap keeps is open; how many is not
         df = df.agg(F.count(F.lit(1)).alias("n"))
     return rounded(df, digits)
