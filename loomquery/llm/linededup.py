@@ -6,6 +6,10 @@ alike wherever it stands. A line of at least LONG_WORDS words is a chunk of its
 several lines are compared over the whole corpus: first by hash, then byte by byte, as the texts themselves are grouping keys.
 Of equal chunks the first (least doc_id, of documents that share it the one whose text hashes least, then first in its text) stays; the others go.
 
+A passage's first and last lines mostly lie in chunks that it shares with what stands around it. So pairs of neighbouring
+lines are compared in the same way: a run of lines, LONG_WORDS words or more together, whose every pair stands at an
+earlier place too goes as well. A line of a repeated pair's first place stays.
+
 Everything is DataFrame and SQL functions. The texts of candidate chunks are shuffled once for the byte
 comparison, and those documents that lose lines once more; a chunk that stands in a third of the documents is
 counted before the shuffle.
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded, materialize
@@ -61,55 +65,84 @@ def _cut(text: Column, p: LineParams) -> Column:
     return let(lines, chunks)
 
 
-def _marked(docs: DataFrame, p: LineParams) -> DataFrame:
-    """(doc, id, key, chunks): chunks is an array with each chunk's place, text and hash, and whether it may go."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("text").alias("t"))
+def _pieces(docs: DataFrame, p: LineParams) -> DataFrame:
+    """(id, key, c): of each document its chunks that may go and all pairs of neighbouring lines, with first line, lines, hash and text."""
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("text").alias("t"))
     may = lambda c: F.when(c["lines"] > 1, F.length(c["text"]) >= c["lines"]).otherwise(_long(c["text"], p))
-    mark = lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.xxhash64(F.lit(p.seed), c["text"]).alias("hash"), may(c).alias("may"), c["text"].alias("text"))
-    return whole.select("doc", "id", F.xxhash64("id", "t").alias("key"), F.transform(_cut(F.coalesce("t", F.lit("")), p), mark).alias("chunks"))
+    piece = lambda pair, first, lines, text: F.struct(F.lit(pair).alias("pair"), first.cast("int").alias("first"), lines.cast("int").alias("lines"), F.xxhash64(F.lit(p.seed + pair), text).alias("hash"), text.alias("text"))
+    chunks = F.transform(F.filter(_cut(F.coalesce("t", F.lit("")), p), may), lambda c: piece(False, c["first"], c["lines"], c["text"]))
+
+    def pairs(lines: Column) -> Column:
+        return F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda x, i: piece(True, i, F.lit(2), F.concat(x, F.lit("\n"), F.get(lines, i + 1))))
+
+    both = F.concat(chunks, F.element_at(F.transform(F.array(F.split(F.coalesce("t", F.lit("")), "\n", -1)), pairs), 1))
+    return whole.select("id", F.xxhash64("id", "t").alias("key"), F.explode(both).alias("c"))
+
+
+def _runs(places: DataFrame, p: LineParams) -> DataFrame:
+    """(id, key, lines): runs of neighbouring lines, long_words words or more together, whose every pair stands at an earlier place too.
+
+    places: (id, key, hash, first, head, tail) of repeated pairs, with the words of their two lines. A line of a pair whose first place this is stays.
+    """
+    places = materialize(places.dropDuplicates(["id", "key", "first"]), "lines-pairs")
+    keepers = bounded(materialize(places.groupBy("hash").agg(F.min(F.struct("id", "key", "first")).alias("keeper")), "lines-pair-keepers"), 1_000_000)
+    places = places.join(keepers, "hash").withColumn("own", F.struct("id", "key", "first") == F.col("keeper"))
+    later = places.where("not own").withColumn("run", F.col("first") - F.row_number().over(Window.partitionBy("id", "key").orderBy("first")))
+    runs = later.groupBy("id", "key", "run").agg(F.min("first").alias("a"), F.max("first").alias("z"), (F.sum("head") + F.max_by("tail", "first")).alias("words")).where(F.col("words") >= p.long_words)
+    runs = runs.select("id", "key", F.sequence("a", F.col("z") + 1).alias("lines"))
+    own = places.where("own").groupBy("id", "key").agg(F.flatten(F.collect_list(F.array("first", F.col("first") + 1))).alias("stay"))
+    return runs.join(own, ["id", "key"], "left").select("id", "key", F.array_except("lines", F.coalesce("stay", F.array().cast("array<int>"))).alias("lines")).where(F.size("lines") > 0)
 
 
 def repeats(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """(id, key, gone): of each document that loses chunks, their first lines. Documents are told apart by doc_id and text."""
-    rows = _marked(docs, p).select("id", "key", F.explode(F.filter("chunks", lambda c: c["may"])).alias("c"))
-    places = materialize(rows.select("id", "key", "c.first", "c.hash"), "lines-places")
+    """(id, key, gone, pieces): of each document that loses lines, their numbers, and of how many chunks and runs they are. Documents are told apart by doc_id and text."""
+    rows = _pieces(docs, p)
+    places = materialize(rows.select("id", "key", "c.pair", "c.first", "c.lines", "c.hash"), "lines-places")
     twice = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     twice = bounded(materialize(twice, "lines-hashes"), 2_000_000)
     # Byte comparison: the text itself is the key. A hash that stands for two texts is not used.
-    same = rows.select("c.hash", "c.text").join(twice, "hash", "left_semi").groupBy("hash", "text").agg(F.count(F.lit(1)).alias("n"))
-    kept = same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n")).where("texts = 1 and n > 1").select("hash")
+    same = rows.select("c.hash", "c.pair", "c.text").join(twice, "hash", "left_semi").groupBy("hash", "pair", "text").agg(F.count(F.lit(1)).alias("n"))
+    words = lambda line: F.when(F.col("pair"), F.regexp_count(line, F.lit(WORD))).otherwise(0)
+    same = same.select("hash", "n", words(F.substring_index("text", "\n", 1)).alias("head"), words(F.substring_index("text", "\n", -1)).alias("tail"))
+    kept = same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), *[F.max(c).alias(c) for c in ("n", "head", "tail")]).where("texts = 1 and n > 1").select("hash", "head", "tail")
     kept = bounded(materialize(kept, "lines-kept"), 1_000_000)
-    found = materialize(places.join(kept, "hash").groupBy("id", "key", "hash").agg(F.collect_set("first").alias("firsts")), "lines-found")
+    again = places.join(kept, "hash")
+    found = materialize(again.where("not pair").groupBy("id", "key", "hash", "lines").agg(F.collect_set("first").alias("firsts")), "lines-found")
     keepers = bounded(materialize(found.groupBy("hash").agg(F.min(F.struct("id", "key")).alias("keeper")), "lines-keepers"), 1_000_000)
-    found = found.join(keepers, "hash")
     # In the keeper the first of them stays.
     gone = F.when(F.struct("id", "key") != F.col("keeper"), F.col("firsts")).otherwise(F.array_except("firsts", F.array(F.array_min("firsts"))))
-    return found.select("id", "key", gone.alias("g")).where(F.size("g") > 0).groupBy("id", "key").agg(F.flatten(F.collect_list("g")).alias("gone"))
+    chunks = found.join(keepers, "hash").select("id", "key", F.explode(gone).alias("first"), "lines").select("id", "key", F.sequence("first", F.col("first") + F.col("lines") - 1).alias("lines"))
+    runs = _runs(again.where("pair").select("id", "key", "hash", "first", "head", "tail"), p)
+    every = chunks.withColumn("chunk", F.lit(1)).unionByName(runs.withColumn("chunk", F.lit(0))).groupBy("id", "key").agg(
+        F.flatten(F.collect_list(F.when(F.col("chunk") == 1, F.col("lines")))).alias("cut"), F.collect_list(F.when(F.col("chunk") == 0, F.col("lines"))).alias("runs"), F.sum("chunk").alias("n")
+    )
+    more = F.filter("runs", lambda r: F.size(F.array_except(r, F.col("cut"))) > 0)
+    return every.select("id", "key", F.array_union("cut", F.flatten("runs")).alias("gone"), (F.col("n") + F.size(more)).alias("pieces"))
 
 
 def _removed(docs: DataFrame, p: LineParams) -> DataFrame:
+    """(doc, lines, gone, pieces, left): a document, its lines as an array, the numbers of those that go, and the text of the others."""
     gone = bounded(materialize(repeats(docs, p), "lines-gone"), 200_000)
-    return _marked(docs, p).join(gone, ["id", "key"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("text").alias("t"))
+    rows = whole.withColumn("key", F.xxhash64("id", "t")).join(gone, ["id", "key"], "left").withColumn("lines", F.split("t", "\n", -1))
+    left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return rows.select("doc", "lines", "gone", "pieces", F.when(F.col("gone").isNull(), F.col("t")).otherwise(left).alias("left"))
 
 
 def line_dedup(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """docs with repeated chunks cut out of text; all rows and columns stay, n_chars (if there) follows the new text.
+    """docs with repeated chunks and runs of lines cut out of text; all rows and columns stay, n_chars (if there) follows the new text.
 
     A null text stays null, an empty one empty; a text may become empty. Rows that share doc_id and text are one
     document: each keeps what one of them keeps. A null doc_id is the largest. Chunks of empty lines stay.
     """
-    left = F.array_join(F.transform(F.filter("chunks", lambda c: ~F.array_contains("gone", c["first"])), lambda c: c["text"]), "\n")
-    text = F.when(F.size("gone") == 0, F.col("doc.text")).otherwise(left)
-    rows = _removed(docs, p).select("doc", text.alias("new"))
+    rows = _removed(docs, p).select("doc", F.col("left").alias("new"))
     cols = [F.col("new").alias("text") if c == "text" else F.char_length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     return rows.select(*cols)
 
 
 def line_report(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
-    """Per row of docs: doc_id, lines, removed_chunks, removed_lines, kept_chars and kept_crc32 of the text that stays (null text: no lines, null crc)."""
+    """Per row of docs: doc_id, lines, removed_chunks (chunks, and runs of lines that take more than those), removed_lines, kept_chars and kept_crc32 of the text that stays (null text: no lines, null crc)."""
     rows = _removed(docs, p)
-    out = F.filter("chunks", lambda c: F.array_contains("gone", c["first"]))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["lines"])
-    left = F.array_join(F.transform(F.filter("chunks", lambda c: ~F.array_contains("gone", c["first"])), lambda c: c["text"]), "\n")
-    text = F.when(F.col("doc.text").isNotNull(), left)
-    return rows.select(F.col("doc.doc_id").alias("doc_id"), F.when(F.col("doc.text").isNull(), 0).otherwise(total(F.col("chunks"))).cast("long").alias("lines"), F.size(out).cast("long").alias("removed_chunks"), total(out).alias("removed_lines"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    gone = F.when(F.col("gone").isNotNull(), F.size("gone"))
+    return rows.select(F.col("doc.doc_id").alias("doc_id"), number(F.when(F.col("lines").isNotNull(), F.size("lines"))).alias("lines"), number(F.col("pieces")).alias("removed_chunks"), number(gone).alias("removed_lines"), number(F.char_length("left")).alias("kept_chars"), F.crc32(F.col("left").cast("binary")).alias("kept_crc32"))

@@ -76,3 +76,20 @@ def test_lines_repeated_among_documents_without_an_id_of_their_own(spark):
         rows = [(i, f"{passage}\nown line {n}") for n in range(4)]
         got = [r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()]
         assert sum(passage in t for t in got) == 1 and all(any(f"own line {n}" in t for t in got) for n in range(4))
+
+
+def test_short_passages_of_short_lines_go(spark):
+    rng = np.random.default_rng(15)
+    line = lambda: " ".join(f"l{x}" for x in rng.integers(0, 10**9, 15))
+    rows, want = [], {}
+    for n in (2, 3, 4, 6, 8, 12):
+        for _ in range(8):  # a passage of n lines in two documents, at other places; 15 words a line
+            passage, at = [line() for _ in range(n)], len(rows)
+            for i in range(2):
+                before, after = [line() for _ in range(int(rng.integers(1, 5)))], [line() for _ in range(int(rng.integers(1, 5)))]
+                rows.append((at + i, "\n".join(before + passage + after)))
+                want[at + i] = "\n".join(before + (passage if i == 0 or n < 4 else []) + after)
+    got = {r["doc_id"]: r["text"] for r in linededup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    long = [i for i, t in rows if want[i] != t or i % 2 == 0]
+    assert len(long) > 70 and all(got[i] == want[i] for i in long)
+    assert all(x in got[i] for i, t in rows for x in want[i].split("\n") if len(t.split()) and want[i] != t)
