@@ -40,6 +40,21 @@ def test_every_kind_of_near_copy_goes(spark):
     assert stay == {i for i, _ in rows if i % 2 == 0} | {2 * i + 1 for i, j in enumerate(pairs) if j < 0.8}
 
 
+def test_no_pair_below_the_threshold_is_linked(spark):
+    rng = np.random.default_rng(12)
+    rows, similarity = [], []
+    for n in range(200):  # edits reuse the text's own words
+        text = zipf(rng, 400)
+        other = list(text)
+        for i in rng.choice(400, int(rng.integers(3, 20)), replace=False):
+            other[i] = text[int(rng.integers(0, 400))]
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(other))]
+        similarity.append(jaccard(rows[-2][1], rows[-1][1]))
+    stay = kept(spark, rows)
+    assert sum(0.6 <= j < 0.8 for j in similarity) > 50
+    assert [2 * n + 1 in stay for n in range(200)] == [j < 0.8 for j in similarity]
+
+
 def test_a_crowd_of_copies_of_copies(spark):
     rng = np.random.default_rng(13)
     text, rows = zipf(rng, 200), []
