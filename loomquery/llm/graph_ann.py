@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import dump, finite, load, search
+from .common import materialize
+from .vectors import PART_ROWS, SHARD_ROWS, Find, asked_of, classes_of, dump, finite, indexed, load, ranked, visit
 
 
 @dataclass(frozen=True)
@@ -143,7 +144,7 @@ def _units(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def nearest(points: DataFrame, every: int = 50, k: int = 5, p: GraphParams = GraphParams(), shard_rows: int = 8192) -> DataFrame:
+def nearest(points: DataFrame, every: int = 50, k: int = 5, p: GraphParams = GraphParams(), shard_rows: int = SHARD_ROWS) -> DataFrame:
     """points: (vec_id, embedding). Of each vec_id divisible by every: the k nearest found among all other rows, by cosine: query_id, rank, vec_id, score.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part. Only vectors of one length
@@ -153,28 +154,40 @@ def nearest(points: DataFrame, every: int = 50, k: int = 5, p: GraphParams = Gra
     v = F.col("embedding").cast("array<double>")
     valid = points.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & finite(F.col("v"))).where(F.exists("v", lambda x: x != 0))
 
-    def index(vectors: np.ndarray, _: np.ndarray) -> bytes:
+    def index(_dim: int, _shard: int, vectors: np.ndarray) -> bytes:
         edges, entry = build_graph(_units(vectors).astype(np.float32), p)
         return dump(vectors=vectors, edges=edges.astype(np.int32), entry=np.array(entry))
 
-    def find(blob: bytes, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def opened(blob: bytes) -> Find:
         held = load(blob)
         units = _units(held["vectors"])
-        asked, out = _units(queries), []
         x, edges = units.astype(np.float32), held["edges"].astype(np.int64)
-        for at in range(0, len(asked), p.batch):
-            q = asked[at : at + p.batch]
-            nodes, _, _ = beam_search(x, edges, int(held["entry"]), q.astype(np.float32), max(p.beam_search, 2 * k), p.wide)
-            for one, row, raw in zip(q, nodes, queries[at : at + p.batch]):
-                rows = row[row >= 0]
-                rough = units[rows] @ one
-                rows = rows[np.argsort(-rough, kind="stable")[: 4 * k + 4]]
-                near = held["vectors"][rows]
-                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                    score = (near @ raw) / (np.sqrt((near * near).sum(axis=1)) * np.sqrt(raw @ raw))
-                score = np.where(np.isfinite(score), score, units[rows] @ one)
-                best = np.lexsort((rows, -score))[: k + 1]  # rows are in the order of their first ids
-                out.append((rows[best], score[best]))
-        return out
-
-    return search(valid, every, k, index, find, "double", "graph", shard_rows)
+
+        def find(queries: np.ndarray, _: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            asked, out = _units(queries), []
+            for at in range(0, len(asked), p.batch):
+                q = asked[at : at + p.batch]
+                nodes, _, _ = beam_search(x, edges, int(held["entry"]), q.astype(np.float32), max(p.beam_search, 2 * k), p.wide)
+                for one, row, raw in zip(q, nodes, queries[at : at + p.batch]):
+                    rows = row[row >= 0]
+                    rough = units[rows] @ one
+                    rows = rows[np.argsort(-rough, kind="stable")[: 4 * k + 4]]
+                    near = held["vectors"][rows]
+                    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                        score = (near @ raw) / (np.sqrt((near * near).sum(axis=1)) * np.sqrt(raw @ raw))
+                    score = np.where(np.isfinite(score), score, units[rows] @ one)
+                    best = np.lexsort((rows, -score))[: k + 1]  # rows are in the order of their first ids
+                    out.append((rows[best], score[best]))
+            return out
+
+        return find
+
+    # Every query walks every shard, as the method has it; rows are dealt by hash.
+    classes = materialize(classes_of(valid, k), "graph-classes")
+    shards = max(1, -(-classes.count() // shard_rows))
+    indexes = indexed(classes.withColumn("shard", F.pmod(F.xxhash64("v", F.lit(7)), F.lit(shards))), k, index, "graph")
+    asked = materialize(asked_of(valid, every), "graph-queries")
+    parts = max(1, -(-asked.count() // PART_ROWS))
+    shard = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
+    jobs = asked.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), F.lit(None).cast("double").alias("least"), shard)
+    return ranked(visit(indexes, jobs, k, opened, "double", "graph"), k)

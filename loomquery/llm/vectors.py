@@ -1,15 +1,15 @@
 """Searching sharded indexes: what the graph search and the metric tree share.
 
 Equal vectors are one class, of which only the smallest few ids can be among the nearest of any query;
-so a vector that a third of all rows hold is one indexed point. Classes are dealt by hash into shards of
-about SHARD_ROWS; a shard's index is one row of a table in the shared folder. Queries are put in blocks of
-about BLOCK_ROWS, and each block meets each shard of its dimension by an equi-join.
+so a vector that a third of all rows hold is one indexed point. A shard's index is one row of a table in the
+shared folder. Queries meet a shard in parts of about PART_ROWS: shard and part are cogrouped, so that a
+task decodes an index once for all queries of the part, and a shard that many queries ask is many tasks.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARD_ROWS = 8192
-BLOCK_ROWS = 512
+PART_ROWS = 1024
+
+#: Given the queries and the score that each has to reach (-inf: none): for each its best rows and their scores.
+Find = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
 
 def dump(**arrays: np.ndarray) -> bytes:
@@ -37,61 +40,58 @@ def finite(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)), F.lit(False))
 
 
-def search(
-    points: DataFrame,
-    every: int,
-    k: int,
-    index: Callable[[np.ndarray, np.ndarray], bytes],
-    find: Callable[[bytes, np.ndarray], list[tuple[np.ndarray, np.ndarray]]],
-    score_type: str,
-    tag: str,
-    shard_rows: int = SHARD_ROWS,
-) -> DataFrame:
-    """points: (vec_id, v), valid vectors. The k best of each query (vec_id divisible by every): query_id, rank, vec_id, score.
-
-    index(vectors, first ids) makes a shard's index; find(index, queries) gives for each query the rows of
-    its k + 1 best classes in that shard, and their scores. Larger is better; ties go to the smaller vec_id.
-    """
-    # The k + 1 smallest ids of a class: one of them may be the query's own.
+def classes_of(points: DataFrame, k: int) -> DataFrame:
+    """points: (vec_id, v). (v, ids, dim): each distinct vector with its k + 1 smallest ids, as one of them may be the query's own."""
     ranked = points.select("vec_id", "v", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id")).alias("n")).where(f"n <= {k + 1}")
-    classes = ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("v", "ids", F.size("v").alias("dim"))
-    classes = materialize(classes, f"{tag}-classes")
-    shards = max(1, -(-classes.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(shards)).alias("shard")
+    return ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("v", "ids", F.size("v").alias("dim"))
+
+
+def asked_of(points: DataFrame, every: int) -> DataFrame:
+    """(vec_id, v, dim): the queries, those whose vec_id is divisible by every; of rows that repeat one, the least vector."""
+    return points.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+
+
+def indexed(classes: DataFrame, k: int, index: Callable[[int, int, np.ndarray], bytes], tag: str) -> DataFrame:
+    """classes: (v, ids, dim, shard). (dim, shard, index, ids): each shard's index, made by index(dim, shard, vectors), whose rows are in the order of their first ids."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(first=[i[0] for i in rows["ids"]]).sort_values("first", ignore_index=True)
-        vectors = np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, 0))
         ids = np.full((len(rows), k + 1), -1, np.int64)
         for i, found in enumerate(rows["ids"]):
             ids[i, : len(found)] = found
         held = np.array([len(i) for i in rows["ids"]])
-        return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "shard": [rows["shard"].iloc[0]], "index": [index(vectors, ids[:, 0])], "ids": [dump(ids=ids, held=held)]})
-
-    indexes = materialize(classes.select("v", "ids", "dim", shard).groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, index binary, ids binary"), f"{tag}-index")
-
-    asked = points.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = materialize(asked.select("vec_id", "v", F.size("v").alias("dim")), f"{tag}-queries")
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    block = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    jobs = block.select("dim", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")).repartition(F.col("dim"), F.col("shard")).join(indexes, ["dim", "shard"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for asked, blob, packed in zip(batch["asked"], batch["index"], batch["ids"]):
-                ids, out = load(packed), []
-                own = np.array([a["vec_id"] for a in asked])
-                for q, (rows, scores) in zip(own, find(blob, np.array([a["v"] for a in asked], np.float64))):
-                    held = ids["held"][rows]
-                    members = ids["ids"][rows]
-                    flat = np.arange(members.shape[1]) < held[:, None]
-                    got, score = members[flat], np.repeat(scores, held)
-                    got, score = got[got != q], score[got != q]
-                    best = np.lexsort((got, -score))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": got[best], "score": score[best]}))
-                yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = jobs.select("asked", "index", "ids").mapInPandas(run, f"query_id long, vec_id long, score {score_type}")
-    found = materialize(found, f"{tag}-found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        dim, shard = int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0])
+        return pd.DataFrame({"dim": [dim], "shard": [shard], "index": [index(dim, shard, np.stack(rows["v"].to_numpy()))], "ids": [dump(ids=ids, held=held)]})
+
+    return materialize(classes.select("v", "ids", "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard long, index binary, ids binary"), f"{tag}-index")
+
+
+def visit(indexes: DataFrame, jobs: DataFrame, k: int, opened: Callable[[bytes], Find], score_type: str, tag: str) -> DataFrame:
+    """jobs: (dim, shard, part, vec_id, v, least), queries and the shards that they ask. (query_id, vec_id, score): of each the k best ids of the shard that reach its least score (null: any)."""
+
+    def run(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(index) and len(asked):
+            ids, find = load(index["ids"].iloc[0]), opened(index["index"].iloc[0])
+            found = find(np.stack(asked["v"].to_numpy()).astype(np.float64), asked["least"].astype(float).fillna(-np.inf).to_numpy())
+            for q, (rows, scores) in zip(asked["vec_id"].tolist(), found):
+                held = ids["held"][rows]
+                flat = np.arange(ids["ids"].shape[1]) < held[:, None]
+                got, score = ids["ids"][rows][flat], np.repeat(scores, held)
+                best = np.lexsort((got, -score))
+                best = best[got[best] != q]
+                best = best[np.sort(np.unique(got[best], return_index=True)[1])][:k]  # an id that repeats counts once, at its best
+                out.append(pd.DataFrame({"query_id": q, "vec_id": got[best], "score": score[best]}))
+        return pd.concat(out[1:] or out)
+
+    key = ["dim", "shard", "part"]
+    parted = jobs.select(*[F.col(c).alias(c) for c in key]).distinct().join(indexes, ["dim", "shard"])
+    found = parted.groupBy(*key).cogroup(jobs.select(*key, "vec_id", "v", "least").groupBy(*key)).applyInPandas(run, f"query_id long, vec_id long, score {score_type}")
+    return materialize(found, f"{tag}-found")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of each query; an id counts once, ties go to the smaller."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(f"rank <= {k}")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(f"rank <= {k}")
