@@ -1,11 +1,15 @@
-"""A range coder for token ids: blocks of ids, each coded on its own, many at once in numpy.
-
-An id is one of four cases: what the order-2 context predicts (the id that last followed the same two ids),
-what the order-1 context predicts, one that the order-0 table of recent ids holds (then its slot is noted), or a
-new one (then its bits are). Slots and bits are as good as random; they stand beside the coder's output as they are. Three models give the cases' probabilities: by the order-2 prediction's record
-of hits, by the order-1 prediction's, and of the block so far. They are mixed by weights that follow whichever
-model foresaw best, and the mixture drives a carry-less range coder with 16-bit steps. All of it is integer
-arithmetic, so any machine decodes alike. Every block starts from nothing and has a checksum.
+"""A context-mixing range coder for token ids: blocks of ids, each coded on its own, many at once in numpy.
+
+Three predictions of the next id are mixed into one distribution, which drives a carry-less range coder:
+order 2 and order 1 each foresee the id that last followed the same two ids or the same one, and order 0 is a
+distribution over all ids. The mixture gives the foreseen ids their predictions' weights on top of what order 0
+gives them. The weights are kept by how often either prediction has held of late, and follow the share that each
+prediction had in the ids that came. Order 0 starts from the counts of the group of blocks (they stand in the group's head)
+and goes over to the block's own counts, renewed every RENEW ids. The HEAD most frequent ids of a group have
+symbols of their own; the others share one, and which of them it is takes a second step of the coder.
+
+All is integer arithmetic, so any machine decodes alike. Every block starts from the same state, whatever
+stands before it, and has a checksum. Up to GROUP blocks go through the coder side by side.
 """
 
 from __future__ import annotations
@@ -15,207 +19,265 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"IDS1"
+MAGIC = b"IDS2"
 BLOCK = 2048
+GROUP = 1024
+HEAD = 4095
+RENEW = 128
 SLOTS = 12  # bits of the order-1 and order-2 tables
-RECENT = 10  # bits of the order-0 table
-FULL = 1 << 16
+FULL = 24  # bits of the coder's distribution
+ZERO = 18  # bits of the order-0 distribution
+PRIOR = 300  # ids that the group's counts weigh in a block's order 0
 _U = np.uint64
-_TOP, _BOT, _S16, _S48 = _U(1 << 48), _U(1 << 32), _U(16), _U(48)
+_TOP, _BOT, _S16, _S48, _FULL = _U(1 << 48), _U(1 << 32), _U(16), _U(48), _U(FULL)
+_HELD = (1 << FULL) - 1
+# How likely a prediction is to hold at first: never seen, and after 0 to 3 or more times that it held.
+_TRUST2, _TRUST1 = (0, 14_000, 32_000, 42_000, 52_000), (0, 3_000, 12_000, 22_000, 30_000)
+
+
+def _scaled(counts: np.ndarray, bits: int) -> np.ndarray:
+    """0 and the running sums of counts, stretched to end at 2**bits and to rise by at least 1."""
+    n, upto = len(counts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    return np.arange(n + 1) + upto * ((1 << bits) - n) // max(1, int(upto[-1]))
 
 
 class _Model:
-    """Predictions of all blocks, side by side. Probabilities are 16-bit numbers; that of the last case is what the others leave."""
-
-    def __init__(self, n: int) -> None:
-        self.rows = np.arange(n)
-        self.last1 = np.zeros(n, np.int64)
-        self.last2 = np.zeros(n, np.int64)
-        self.base, self.four = self.rows << SLOTS, self.rows << 2
-        self.t1, self.t2 = (np.zeros(n << SLOTS, np.uint32) for _ in range(2))
-        self.hits1, self.hits2 = (np.zeros(n << SLOTS, np.uint8) for _ in range(2))
-        self.t0 = np.zeros((n, 1 << RECENT), np.uint32)
-        # By the order-2 record of hits, by the order-1 record, and of the block; for each of three cases.
-        self.p = [[np.full(n * k, x, np.int64) for x in (8000, 8000, 30000)] for k in (4, 4, 1)]
-        self.w = [np.full(n, x, np.int64) for x in (21846, 21845, 21845)]
-
-    def look(self, m: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """For the first m blocks: the order-2 and order-1 predictions (0: none) and the upper bounds of three cases."""
-        a, b, base = self.last1[:m], self.last2[:m], self.base[:m]
-        self.h1 = base + ((a * 0x9E3779B1 >> 15) & ((1 << SLOTS) - 1))
-        self.h2 = base + (((a * 0x85EBCA6B + b * 0xC2B2AE35) >> 13) & ((1 << SLOTS) - 1))
+    """The mixture of all blocks, side by side. Ids are ranks by frequency; an id held in a table is one more than its rank, with its record above FULL bits."""
+
+    def __init__(self, n: int, counts: np.ndarray) -> None:
+        self.n, self.symbols = n, min(len(counts), HEAD + 1)
+        self.tail = len(counts) > self.symbols
+        last = self.symbols - 1
+        self.prior = counts.astype(np.int64) if not self.tail else np.append(counts[:last], counts[last:].sum())
+        self.rest = _scaled(counts[last:], FULL) if self.tail else None
+        self.row = np.arange(n) * (self.symbols + 1)
+        self.count_row = np.arange(n) * self.symbols
+        self.lift = np.arange(n) << (ZERO + 1)  # makes the rows of upto one rising sequence
+        self.count = np.zeros((n, self.symbols), np.int32)
+        self.upto = np.zeros((n, self.symbols + 1), np.int32)
+        self.last1, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.base = np.arange(n) << SLOTS
+        self.t1, self.t2 = np.zeros(n << SLOTS, np.int32), np.zeros(n << SLOTS, np.int32)
+        self.w2 = np.tile(np.repeat(np.array(_TRUST2), 5), n)
+        self.w1 = np.tile((np.array(_TRUST1) * (65536 - np.array(_TRUST2))[:, None] >> 16).ravel(), n)
+        self.state = np.arange(n) * 25
+
+    def renew(self, seen: int) -> None:
+        """Order 0 after so many ids of each block."""
+        room = (1 << ZERO) - self.symbols
+        weight = room // (PRIOR + max(seen, 1))
+        prior = _scaled(self.prior, ZERO) - np.arange(self.symbols + 1)
+        part = prior * (room - weight * seen) // room + np.arange(self.symbols + 1)
+        self.upto[:, 0] = 0
+        np.cumsum(self.count, axis=1, out=self.upto[:, 1:])
+        self.upto *= weight
+        self.upto += part.astype(np.int32)
+        self.upto += self.lift[:, None].astype(np.int32)
+
+    def look(self, m: int) -> None:
+        """Makes the mixture for the first m blocks: foreseen ranks k2, k1 (-1: none), their weights and order 0's."""
+        self.h1 = self.base[:m] + ((self.last1[:m] * 0x9E3779B1 >> 15) & ((1 << SLOTS) - 1))
+        self.h2 = self.base[:m] + ((self.last1[:m] * 0x85EBCA6B + self.last2[:m] * 0xC2B2AE35 >> 13) & ((1 << SLOTS) - 1))
         two, one = self.t2.take(self.h2).astype(np.int64), self.t1.take(self.h1).astype(np.int64)
-        self.at = [self.four[:m] + self.hits2.take(self.h2), self.four[:m] + self.hits1.take(self.h1), None]
-        self.seen = [[c[:m].copy() if at is None else c.take(at) for c in p] for p, at in zip(self.p, self.at)]
-        (a2, a1, a0), (w2, w1, w0), top, bounds = self.seen, (w[:m] for w in self.w), 100, []
-        for x, y, z in zip(a2, a1, a0):
-            top = top + ((x * w2 + y * w1 + z * w0 >> 16) * 65000 >> 16)
-            bounds.append(top)
-            top = top + 100
-        return two, one, bounds
-
-    def learn(self, m: int, ids: np.ndarray, case: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
-        was = [case == c for c in range(3)]
-        foresaw = []
-        for p, at, seen in zip(self.p, self.at, self.seen):
-            left = FULL - seen[0] - seen[1] - seen[2]
-            foresaw.append(np.where(was[0], seen[0], np.where(was[1], seen[1], np.where(was[2], seen[2], left))))
-            for held, x, hit in zip(p, seen, was):
-                new = x + ((hit * FULL - x) >> 5)
-                if at is None:
-                    held[:m] = new
-                else:
-                    held[at] = new
-        first = (foresaw[0] >= foresaw[1]) & (foresaw[0] >= foresaw[2])
-        second = ~first & (foresaw[1] >= foresaw[2])
-        for w, best in zip(self.w, (first, second, ~first & ~second)):
-            w[:m] += (best * FULL - w[:m]) >> 6
-        held = ids + 1
-        for t, hits, h, guess in ((self.t2, self.hits2, self.h2, two), (self.t1, self.hits1, self.h1, one)):
-            hits[h] = np.where(guess == held, np.minimum(hits.take(h) + 1, 3), 0)
-            t[h] = held
-        self.t0[self.rows[:m], self.slot(ids)] = held
+        self.k2, self.k1 = (two & _HELD) - 1, (one & _HELD) - 1
+        self.s2, self.s1 = two >> FULL, one >> FULL
+        apart = self.k1 != self.k2  # the same id twice counts as order 2's alone
+        self.k1 = np.where(apart, self.k1, -1)
+        self.ctx = self.state[:m] + self.s2 * 5 + self.s1 * apart
+        self.p2, self.p1 = self.w2.take(self.ctx), self.w1.take(self.ctx)
+        most = (1 << FULL) - (1 << FULL - 6)  # order 0 keeps a 64th
+        self.l2, self.l1 = (self.p2 * most >> 16) * (self.k2 >= 0), (self.p1 * most >> 16) * (self.k1 >= 0)
+        self.l0 = (1 << FULL) - self.l1 - self.l2
+
+    def zero(self, m: int, symbol: np.ndarray) -> np.ndarray:
+        """Where order 0's share of a symbol begins."""
+        return self.l0 * (self.upto.ravel().take(self.row[:m] + symbol) - self.lift[:m]) >> ZERO
+
+    def span(self, m: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each id in the mixture; an id without a symbol of its own has its second step still to come, unless it is foreseen."""
+        symbol = np.minimum(x, self.symbols - 1) if self.tail else x
+        low, high = self.zero(m, symbol), self.zero(m, symbol + 1)
+        self.hit2, self.hit1 = self.k2 == x, self.k1 == x
+        place = np.where((symbol < self.symbols - 1) | self.hit1 | self.hit2, x, _HELD) if self.tail else x
+        start = low + self.l1 * (self.k1 < place) + self.l2 * (self.k2 < place)
+        gain = self.l1 * self.hit1 + self.l2 * self.hit2
+        size = high - low
+        if self.tail:
+            size = np.where((gain > 0) & (symbol == self.symbols - 1), 0, size)
+        return start, size + gain
+
+    def find(self, m: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at places v of the mixture, and which of them need a second step."""
+        cap = self.symbols - 1
+        at2 = self.zero(m, np.clip(self.k2, 0, cap)) + self.l1 * (self.k1 < self.k2)
+        at1 = self.zero(m, np.clip(self.k1, 0, cap)) + self.l2 * (self.k2 < self.k1)
+        in2, in1 = np.minimum(np.maximum(v - at2, 0), self.l2), np.minimum(np.maximum(v - at1, 0), self.l1)
+        place = ((v - in1 - in2 << ZERO) + ((1 << ZERO) - 1)) // self.l0
+        x = np.searchsorted(self.upto.ravel(), (place + self.lift[:m]).astype(np.int32), "right") - 1 - self.row[:m]
+        x = np.clip(x, 0, cap)  # only damage makes it leave its row
+        if not self.tail:
+            return x, np.zeros(0, np.int64)
+        two, one = (v >= at2) & (v < at2 + self.l2), (v >= at1) & (v < at1 + self.l1)
+        return np.where(two, self.k2, np.where(one, self.k1, x)), np.flatnonzero((x == cap) & ~two & ~one)
+
+    def learn(self, m: int, x: np.ndarray, size: np.ndarray) -> None:
+        p2, p1 = self.p2 - (self.p2 >> 5), self.p1 - (self.p1 >> 5)
+        for p, hit, share in ((p2, self.hit2, self.l2), (p1, self.hit1, self.l1)):
+            i = np.flatnonzero(hit)
+            p[i] += (share[i] << 11) // size[i]  # its part in the id, a 32nd of 65536
+        self.w2[self.ctx], self.w1[self.ctx] = p2, p1
+        held = x + 1
+        self.t2[self.h2] = held + (np.where(self.hit2, np.minimum(self.s2 + 1, 4), 1) << FULL)
+        again = self.t1.take(self.h1) & _HELD == held
+        self.t1[self.h1] = held + (np.where(again, np.minimum(self.s1 + 1, 4), 1) << FULL)
+        self.count.ravel()[self.count_row[:m] + (np.minimum(x, self.symbols - 1) if self.tail else x)] += 1
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = held
 
-    @staticmethod
-    def slot(ids: np.ndarray) -> np.ndarray:
-        return (ids * 40503 >> 4) & ((1 << RECENT) - 1)
-
 
-def _between(case: np.ndarray, bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    a, b, c = bounds
-    upper = np.where(case == 0, a, np.where(case == 1, b, np.where(case == 2, c, FULL)))
-    return np.where(case == 0, 0, np.where(case == 1, a, np.where(case == 2, b, c))), upper
+def _settle(low: np.ndarray, span: np.ndarray, i: np.ndarray):
+    """Moves 16 bits out of the coders i as long as any has them settled; yields who, and what goes."""
+    while len(i):
+        a, s = low[i], span[i]
+        settled = (a ^ (a + s)) < _TOP
+        short = ~settled & (s < _BOT)
+        live = settled | short
+        i, a, s, short = i[live], a[live], s[live], short[live]
+        if not len(i):
+            return
+        s = np.where(short, (_U(0) - a) & (_BOT - _U(1)), s)
+        low[i], span[i] = a << _S16, s << _S16
+        yield i, a >> _S48
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """ids: unsigned 32-bit numbers below 2**32 - 1. The coded blocks with their table of lengths and checksums."""
+def _encode_group(ids: np.ndarray, block: int) -> bytes:
+    names, rank, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     n = -(-len(ids) // block)
     sizes = np.full(n, block)
-    if n:
-        sizes[-1] = len(ids) - block * (n - 1)
-    wide = bool(len(ids) and ids.max() >= FULL)
+    sizes[-1] = len(ids) - block * (n - 1)
     grid = np.zeros((n, block), np.int64)
-    grid.ravel()[: len(ids)] = ids
-    model = _Model(n)
+    grid.ravel()[: len(ids)] = place[rank]
+    grid = np.ascontiguousarray(grid.T)
+    model, every = _Model(n, counts[order]), np.arange(n)
     low, span = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
-    out, used = np.zeros((n, block + 12), np.uint16), np.zeros(n, np.int64)  # a case takes less than 16 bits
-    cases, slots = np.zeros((n, block), np.uint8), np.zeros((n, block), np.uint16)
-
-    def put(m: int, start: np.ndarray, size: np.ndarray) -> None:
-        s = span[:m] >> _S16
-        low[:m] += s * start.astype(_U)
-        span[:m] = s * size.astype(_U)
-        i = np.arange(m)
-        while len(i):
-            a, s = low[i], span[i]
-            settled = (a ^ (a + s)) < _TOP
-            short = ~settled & (s < _BOT)
-            live = settled | short
-            i, a, s, short = i[live], a[live], s[live], short[live]
-            s = np.where(short, (_U(0) - a) & (_BOT - _U(1)), s)
-            out[i, used[i]] = a >> _S48
-            used[i] += 1
-            low[i], span[i] = a << _S16, s << _S16
+    out, used = np.zeros((n, 3 * block + 12), np.uint16), np.zeros(n, np.int64)
+
+    def put(i: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        s = span[i] >> _FULL
+        low[i] += s * start.astype(_U)
+        span[i] = s * size.astype(_U)
+        for who, word in _settle(low, span, i):
+            out[who, used[who]] = word
+            used[who] += 1
 
     with np.errstate(over="ignore"):
-        for t in range(min(block, len(ids))):
+        for t in range(int(sizes[0])):
             m = n if t < sizes[-1] else n - 1
-            if not m:
-                break
-            x = grid[:m, t]
-            two, one, bounds = model.look(m)
-            slot = model.slot(x)
-            case = np.where(two == x + 1, 0, np.where(one == x + 1, 1, np.where(model.t0[model.rows[:m], slot] == x + 1, 2, 3)))
-            lower, upper = _between(case, bounds)
-            put(m, lower, upper - lower)
-            cases[:m, t], slots[:m, t] = case, slot
-            model.learn(m, x, case, two, one)
+            if t % RENEW == 0:
+                model.renew(t)
+            x = grid[t, :m]
+            model.look(m)
+            start, size = model.span(m, x)
+            put(every[:m], start, size)
+            if model.tail:
+                i = np.flatnonzero((x >= model.symbols - 1) & ~model.hit1 & ~model.hit2)
+                y = x[i] - (model.symbols - 1)
+                put(i, model.rest[y], model.rest[y + 1] - model.rest[y])
+            model.learn(m, x, size)
     for k in range(4):
-        out[np.arange(n), used] = ((low >> _U(48 - 16 * k)) & _U(0xFFFF)).astype(np.uint16)
+        out[every, used] = ((low >> _U(48 - 16 * k)) & _U(0xFFFF)).astype(np.uint16)
         used += 1
     raw = np.ascontiguousarray(ids, "<u4")
-    table, body = np.zeros((n, 5), "<u4"), []
-    for i in range(n):
-        size = int(sizes[i])
-        kind, x = cases[i, :size], raw[i * block : i * block + size]
-        known, new = slots[i, :size][kind == 2], x[kind == 3]
-        bits = np.unpackbits(known.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)[:, 16 - RECENT :]
-        body += [out[i, : used[i]].astype("<u2").tobytes(), np.packbits(bits).tobytes(), new.astype("<u4" if wide else "<u2").tobytes()]
-        table[i] = size, used[i], len(known), len(new), zlib.crc32(x)
-    return MAGIC + struct.pack("<IIB", block, n, wide) + table.tobytes() + b"".join(body)
+    sums = np.array([zlib.crc32(raw[i * block : i * block + int(sizes[i])]) for i in range(n)], "<u4")
+    head = zlib.compress(np.diff(names.astype("<i8"), prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes())
+    lead = struct.pack("<IIII", len(ids), len(names), len(head), zlib.crc32(head))
+    return lead + head + used.astype("<u4").tobytes() + sums.tobytes() + b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(n))
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids back. Raises ValueError on a foreign, short or damaged file, naming the first bad block."""
-    head = len(MAGIC) + struct.calcsize("<IIB")
-    if data[:4] != MAGIC or len(data) < head:
-        raise ValueError("no coded ids")
-    block, n, wide = struct.unpack_from("<IIB", data, 4)
-    if len(data) < head + 20 * n:
-        raise ValueError("the table of blocks is cut off")
-    table = np.frombuffer(data, "<u4", 5 * n, head).reshape(n, 5).astype(np.int64)
-    sizes, words, known, new, sums = table.T
-    id_bytes, slot_bytes = 4 if wide else 2, (known * RECENT + 7) // 8
-    ends = head + 20 * n + np.cumsum(2 * words + slot_bytes + id_bytes * new)
-    if len(data) != (int(ends[-1]) if n else head) or (n and ((sizes[:-1] != block).any() or not 0 < sizes[-1] <= block)):
+def _decode_group(data: memoryview, block: int, first: int) -> tuple[np.ndarray, int]:
+    """The ids of the group at the start of data, and its length."""
+    if len(data) < 16:
+        raise ValueError("a group of blocks is cut off")
+    total, vocabulary, size_head, sum_head = struct.unpack_from("<IIII", data)
+    head, n = data[16 : 16 + size_head], -(-total // block)
+    at = 16 + size_head
+    if len(data) < at + 8 * n or zlib.crc32(head) != sum_head or not 0 < n <= GROUP:
+        raise ValueError("the head of a group is damaged or cut off")
+    table = np.frombuffer(zlib.decompress(head), "<u4").astype(np.int64)
+    names, counts = np.cumsum(table[:vocabulary]), table[vocabulary:]
+    order = np.argsort(-counts, kind="stable")
+    words = np.frombuffer(data, "<u4", n, at).astype(np.int64)
+    sums = np.frombuffer(data, "<u4", n, at + 4 * n)
+    end = at + 8 * n + 2 * int(words.sum())
+    if len(data) < end or (words < 4).any():
         raise ValueError("the blocks are cut off")
-    tapes, slots, news = [], [], []
-    for i in range(n):
-        at = int(ends[i] - id_bytes * new[i] - slot_bytes[i] - 2 * words[i])
-        tapes.append(np.frombuffer(data, "<u2", int(words[i]), at))
-        at += 2 * int(words[i])
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, int(slot_bytes[i]), at), count=int(known[i]) * RECENT).reshape(-1, RECENT)
-        slots.append(bits @ (1 << np.arange(RECENT - 1, -1, -1)))
-        news.append(np.frombuffer(data, "<u4" if wide else "<u2", int(new[i]), at + int(slot_bytes[i])).astype(np.int64))
     # Each block reads on from its own place; a zero past the end is met only in damaged blocks.
-    join = lambda parts, pad: np.concatenate([*parts, np.zeros(pad, np.int64)])
-    tape, slot_tape, new_tape = join(tapes, 8).astype(_U), join(slots, 1), join(news, 1)
-    at, slot_at, new_at = (np.cumsum(c) - c for c in (words, known, new))
-    model = _Model(n)
+    tape = np.concatenate([np.frombuffer(data, "<u2", int(words.sum()), at + 8 * n), np.zeros(8, np.uint16)]).astype(_U)
+    sizes = np.full(n, block)
+    sizes[-1] = total - block * (n - 1)
+    model, every = _Model(n, counts[order]), np.arange(n)
     low, span, code = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U), np.zeros(n, _U)
+    read = np.cumsum(words) - words
     for k in range(4):
-        code = code << _S16 | tape[at + k]
-    at = at + 4
-    grid = np.zeros((n, block), np.uint32)
-
-    def take(m: int, start: np.ndarray, size: np.ndarray) -> None:
-        s = span[:m] >> _S16
-        low[:m] += s * start.astype(_U)
-        span[:m] = s * size.astype(_U)
-        i = np.arange(m)
-        while len(i):
-            a, s = low[i], span[i]
-            settled = (a ^ (a + s)) < _TOP
-            short = ~settled & (s < _BOT)
-            live = settled | short
-            i, a, s, short = i[live], a[live], s[live], short[live]
-            s = np.where(short, (_U(0) - a) & (_BOT - _U(1)), s)
-            low[i], span[i] = a << _S16, s << _S16
-            code[i] = code[i] << _S16 | tape.take(at[i], mode="clip")
-            at[i] += 1
+        code = code << _S16 | tape[read + k]
+    read = read + 4
+    grid = np.zeros((int(sizes[0]), n), np.int64)
+
+    def where(i: np.ndarray) -> np.ndarray:
+        return np.minimum((code[i] - low[i]) // (span[i] >> _FULL), _U((1 << FULL) - 1)).astype(np.int64)
+
+    def take(i: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        s = span[i] >> _FULL
+        low[i] += s * start.astype(_U)
+        span[i] = s * size.astype(_U)
+        for who, _ in _settle(low, span, i):
+            code[who] = code[who] << _S16 | tape.take(read[who], mode="clip")
+            read[who] += 1
 
     with np.errstate(over="ignore", divide="ignore"):
-        for t in range(block if n > 1 else int(sizes[0]) if n else 0):
+        for t in range(int(sizes[0])):
             m = n if t < sizes[-1] else n - 1
-            two, one, bounds = model.look(m)
-            v = np.minimum((code[:m] - low[:m]) // (span[:m] >> _S16), _U(FULL - 1)).astype(np.int64)
-            case = (v >= bounds[0]).astype(np.int64) + (v >= bounds[1]) + (v >= bounds[2])
-            lower, upper = _between(case, bounds)
-            take(m, lower, upper - lower)
-            x = np.where(case == 0, two, one) - 1
-            rest = np.flatnonzero(case == 2)
-            x[rest] = model.t0[rest, slot_tape.take(slot_at[rest], mode="clip")].astype(np.int64) - 1
-            slot_at[rest] += 1
-            rest = np.flatnonzero(case == 3)
-            x[rest] = new_tape.take(new_at[rest], mode="clip")
-            new_at[rest] += 1
-            x = np.maximum(x, 0)  # only damage makes it negative
-            grid[:m, t] = x
-            model.learn(m, x, case, two, one)
-    ids = grid.ravel()[: int(sizes.sum())]
+            if t % RENEW == 0:
+                model.renew(t)
+            model.look(m)
+            x, more = model.find(m, where(every[:m]))
+            if len(more):  # stands for any id without a symbol that no prediction names
+                x[more] = _HELD - 1
+            start, size = model.span(m, x)
+            take(every[:m], start, size)
+            if len(more):
+                y = np.clip(np.searchsorted(model.rest, where(more), "right") - 1, 0, len(model.rest) - 2)
+                take(more, model.rest[y], model.rest[y + 1] - model.rest[y])
+                x[more] = y + model.symbols - 1
+            grid[t, :m] = x
+            model.learn(m, x, np.maximum(size, 1))
+    ids = names[order][np.ascontiguousarray(grid.T)].ravel()[:total].astype("<u4")
     for i in range(n):
-        if zlib.crc32(np.ascontiguousarray(ids[i * block : i * block + int(sizes[i])], "<u4")) != sums[i]:
-            raise ValueError(f"block {i} does not match its checksum")
-    return ids
+        if zlib.crc32(ids[i * block : i * block + int(sizes[i])]) != sums[i]:
+            raise ValueError(f"block {first + i} does not match its checksum")
+    return ids, end
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """ids: unsigned 32-bit numbers. Their coded blocks, in groups of up to GROUP."""
+    parts = [_encode_group(ids[at : at + block * GROUP], block) for at in range(0, len(ids), block * GROUP)]
+    return MAGIC + struct.pack("<IQ", block, len(ids)) + b"".join(parts)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids back. Raises ValueError on a foreign, short or damaged file, naming the first bad block."""
+    if data[:4] != MAGIC or len(data) < 16:
+        raise ValueError("no coded ids")
+    block, total = struct.unpack_from("<IQ", data, 4)
+    rest, out, found = memoryview(data)[16:], [], 0
+    while found < total:
+        ids, used = _decode_group(rest, block, found // block)
+        out.append(ids)
+        found += len(ids)
+        rest = rest[used:]
+    if found != total or len(rest):
+        raise ValueError("the groups do not make up the file")
+    return np.concatenate(out) if out else np.zeros(0, "<u4")

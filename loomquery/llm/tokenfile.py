@@ -1,8 +1,8 @@
 """Token-id files: whole texts as ids, range-coded in checksummed blocks, in ascending order of doc_id.
 
 Rows are dealt to parts by ranges of doc_id and sorted within, tokenized and coded where they lie. A part is
-written as segments of whole documents, some SEGMENT_IDS ids each: the coded blocks (idcoder) beside the
-directory of the segment's documents. The file's container is Parquet, so that Spark's committer and any
+written as segments of whole documents, up to SEGMENT_IDS ids each (one group of the coder's blocks) unless a document
+is longer: the coded blocks (idcoder) beside the directory of the segment's documents. The file's container is Parquet, so that Spark's committer and any
 store it writes to take care of lost executors. A reader needs one segment at a time.
 """
 
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .idcoder import decode, encode
+from .idcoder import BLOCK, GROUP, decode, encode
 from .tokens import encoder
 
-SEGMENT_IDS = 1024 * 2048
+SEGMENT_IDS = GROUP * BLOCK
 SEGMENT = pa.schema([("part", pa.int64()), ("segment", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("blocks", pa.binary())])
 SEGMENT_SQL = "part long, segment long, first_id long, n_ids long, doc_ids array<long>, doc_tokens array<long>, blocks binary"
 
@@ -50,11 +50,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).batch(batch.column(1).cast(pa.binary()).to_pylist())):
+                if held and size + len(ids) >= SEGMENT_IDS:
+                    yield flush()
                 held.append(np.append(ids, np.uint32(end_id)))
                 names.append(doc_id)
                 size += len(held[-1])
-                if size >= SEGMENT_IDS:
-                    yield flush()
         if held:
             yield flush()
 
