@@ -5,8 +5,8 @@ Over the training rows each place has a log-count ratio between the classes; ind
 ratios go to a linear hinge-loss model fitted by dual coordinate descent. A logistic curve, fitted on
 training rows that the model has not seen, turns margins into scores from 0 to 1.
 
-The fit takes at most SAMPLE_ROWS labelled rows, those whose ids hash least, so it costs the same for any
-corpus; every whole text is scored.
+The fit takes at most SAMPLE_ROWS labelled rows, those whose ids hash least, and of these as many as have
+SAMPLE_PLACES places together, so it costs the same for any corpus; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -24,6 +23,7 @@ from .vectors import dump, load
 
 BITS = 18
 SAMPLE_ROWS = 10_000
+SAMPLE_PLACES = 64_000_000
 RUN = 6
 _PRIME = 0x100000001B3
 _UNPRIME = pow(_PRIME, -1, 1 << 64)
@@ -47,36 +47,41 @@ def _place(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def features(text: str | bytes | None) -> np.ndarray:
-    """The sorted places of a whole text's n-grams, each once."""
+def features(text: str | bytes | None, part: int = _PART) -> np.ndarray:
+    """The sorted places of a whole text's n-grams, each once. It is read in parts for bounded memory; what crosses a cut (a trigram, a word, a pair of words, a run) is carried over."""
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    if len(raw) > _PART:  # bounded memory: parts overlap by what an n-gram can reach across a cut at white space
-        out, at = [], 0
-        while at < len(raw):
-            end = max(raw.rfind(b" ", at, at + _PART), raw.rfind(b"\n", at, at + _PART)) if at + _PART < len(raw) else len(raw)
-            end = end if end > at else min(len(raw), at + _PART)
-            out.append(features(raw[at:end]))
-            at = end
-        return np.unique(np.concatenate(out))
-    a = np.frombuffer(raw, np.uint8)
-    found = []
-    if len(a) >= 3:
-        b = a.astype(np.uint64)
-        found.append(_place(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:], 0))
-    if len(a):
-        inside = np.concatenate([[False], ~_SPACE[a], [False]])
+    a, found = np.frombuffer(raw, np.uint8), []
+    begun, long = 0, 0  # hash and length of a word that the last part broke off
+    last, run = np.zeros(0, np.uint64), 0  # the last whole word, and how often it has stood in a row
+    for at in range(0, len(a), part):
+        here, wide = a[at : at + part], a[max(0, at - 2) : at + part].astype(np.uint64)
+        if len(wide) >= 3:
+            found.append(np.unique(_place(wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:], 0)))
+        inside = np.concatenate([[False], ~_SPACE[here], [False]])
         turn = np.flatnonzero(inside[1:] != inside[:-1])
         start, stop = turn[::2], turn[1::2]
-        if len(start):
-            up, down = _Powers.of(len(a))
-            summed = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)])
-            h = (summed[stop] - summed[start]) * down[start]
-            found.append(_place(h, 1))
-            found.append(_place(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:], 2))
-            # A word that stands RUN times in a row, whichever it is.
-            other = np.flatnonzero(np.concatenate([[True], h[:-1] != h[1:], [True]]))
-            if np.diff(other).max() >= RUN:
-                found.append(_place(np.array([1], np.uint64), 3))
+        up, down = _Powers.of(len(here))
+        summed = np.concatenate([[np.uint64(0)], np.cumsum((here.astype(np.uint64) + np.uint64(1)) * up[: len(here)], dtype=np.uint64)])
+        h = (summed[stop] - summed[start]) * down[start]
+        if long and inside[1]:  # the word goes on
+            h[0] = np.uint64((begun + pow(_PRIME, long, 1 << 64) * int(h[0])) % (1 << 64))
+        elif long:
+            h = np.concatenate([[np.uint64(begun)], h])
+        more = bool(inside[-2]) and at + part < len(a)
+        long = (long if len(start) == 1 and start[0] == 0 else 0) + int(stop[-1] - start[-1]) if more else 0
+        begun, h = (int(h[-1]), h[:-1]) if more else (0, h)
+        if not len(h):
+            continue
+        found.append(np.unique(_place(h, 1)))
+        both = np.concatenate([last, h])
+        found.append(np.unique(_place(both[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + both[1:], 2)))
+        # A word that stands RUN times in a row, whichever it is.
+        other = np.flatnonzero(np.concatenate([[True], h[:-1] != h[1:], [True]]))
+        runs = np.diff(other)
+        runs[0] += run if len(last) and last[0] == h[0] else 0
+        if runs.max() >= RUN:
+            found.append(_place(np.array([1], np.uint64), 3))
+        last, run = h[-1:], int(runs[-1])
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
@@ -161,8 +166,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     chosen = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     chosen = F.broadcast(materialize(chosen, "quality-sample"))  # sample_rows at most
     places = F.pandas_udf(lambda texts: pd.Series([features(t).tobytes() for t in texts]), "binary")
-    taken = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id")
-    rows = materialize(taken.select("id", "y", F.xxhash64("text").alias("h"), "text").repartition(12, "h").select("id", "y", "h", places("text").alias("f")), "quality-features")
+    taken = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").repartition("id")
+    rows = materialize(taken.select("id", "y", F.xxhash64("text").alias("h"), places("text").alias("f")), "quality-features")
+    # The first rows by hash that fit: a running sum over at most sample_rows numbers (a repeated id counts with the least text hash, as in the fit).
+    sizes = rows.groupBy("id").agg(F.min_by(F.octet_length("f"), "h").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(F.broadcast(sizes.select("id", upto.alias("upto")).where(F.col("upto") <= 4 * SAMPLE_PLACES).select("id")), "id", "left_semi")
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h", "id"]).drop_duplicates("id")

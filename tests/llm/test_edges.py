@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, extra columns: each operator has a defined result."""
 
+import re
 import zlib
 
 import numpy as np
@@ -98,6 +99,36 @@ def test_quality(spark, odd, none):
     assert kept.columns == frame.columns and kept.count() == 300
 
 
+def plain_features(raw):
+    """All n-grams of a text, one after another."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    mix = lambda w: sum((c + 1) * pow(quality._PRIME, i, 1 << 64) for i, c in enumerate(w)) % (1 << 64)
+    place = lambda h, kind: (((h ^ h >> 29) * (0x9E3779B97F4A7C15 + 2 * kind)) % (1 << 64)) >> (64 - quality.BITS)
+    h = [mix(w) for w in words]
+    out = {place(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2], 0) for i in range(len(raw) - 2)} | {place(x, 1) for x in h}
+    out |= {place((x * 0xC2B2AE3D27D4EB4F + y) % (1 << 64), 2) for x, y in zip(h, h[1:])}
+    if any(len(set(h[i : i + quality.RUN])) == 1 for i in range(len(h) - quality.RUN + 1)):
+        out.add(place(1, 3))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 64, 1 << 20])
+def test_features_do_not_depend_on_the_parts(part):
+    rng = np.random.default_rng(part)
+    texts = [b"", b" ", b"a", b"ab", b"x" * 90, b"no no no no no no", b"so so so so so", b"  lead and trail \t\n ", b"same same same other same same same"]
+    texts += [bytes(rng.choice(np.frombuffer(b"ab \n.", np.uint8), 300)) for _ in range(20)] + ["é日本 ß x".encode() * 9]
+    for t in texts:
+        assert quality.features(t, part).tolist() == plain_features(t)
+
+
+def test_features_of_texts_over_a_mebibyte():
+    rng = np.random.default_rng(8)
+    spaced = bytes(rng.choice(np.frombuffer(b"abcdefg  \n", np.uint8), 1_300_000))
+    for t in (spaced, spaced.replace(b" ", b"x").replace(b"\n", b"y"), b"run " * 400_000):
+        whole = quality.features(t, 1 << 22)
+        assert (quality.features(t) == whole).all() and (quality.features(t, 99_991) == whole).all()
+
+
 def test_quality_learns_nothing_from_held_out_labels(spark):
     frame = docs(spark, [(i, f"word{i} text", "s") for i in range(100)])
     one = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
