@@ -256,8 +256,10 @@ def classes(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
 BANDS, BAND_ROWS = 24, 4
 #: Equal numbers of the MinHash below which a pair is not compared: 5 standard deviations below 0.8.
 LEAST_EQUAL = 57
-#: Items of one band: up to SMALL all their pairs are candidates at once, over BLOCK they are dealt out as pairs of blocks.
-SMALL, BLOCK = 32, 4096
+#: Bands of up to SMALL items give all their pairs as candidates, some PAIR_ROWS rows a task. Of larger ones the sets meet in blocks of at most so many items, and about so many shingles.
+SMALL, PAIR_ROWS, BLOCK, BLOCK_SHINGLES = 32, 5000, 2048, 4_000_000
+#: Shingles that so many of a block hold are counted by a matrix product, rarer ones pair by pair.
+DENSE = 64
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -307,63 +309,106 @@ def _band_values(least: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(every: bool, group: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): pairs of items that share a band and whose sizes and MinHashes allow a similarity of 0.8.
-
-    Of small bands, all such pairs. Of a large one, a spanning forest by the greatest estimates; with every, all pairs across labels.
-    """
+def _candidates(group: pd.DataFrame) -> pd.DataFrame:
+    """(a, b): pairs of items that share a band and whose sizes and MinHashes allow a similarity of 0.8."""
     group = group.sort_values(["band", "item"])
-    item, size, label = (group[c].to_numpy(np.int64) for c in ("item", "size", "label"))
+    item, size, band = (group[c].to_numpy(np.int64) for c in ("item", "size", "band"))
     sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(item), -1)
-    n, a, b = len(item), [], []
-
-    def equal(i: int, j: slice) -> np.ndarray:
-        same = (sketch[j] == sketch[i]).sum(axis=1, dtype=np.int64)
-        fits = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
-        return np.where(fits & (same >= LEAST_EQUAL), same, -1)
-
-    if not group["alone"].iloc[0]:
-        band = group["band"].to_numpy(np.int64)
-        for by in range(1, SMALL):
-            i = np.flatnonzero(band[:-by] == band[by:]) if by < n else np.zeros(0, np.int64)
-            if not len(i):
-                break
-            i = i[5 * np.minimum(size[i], size[i + by]) >= 4 * np.maximum(size[i], size[i + by])]
-            for at in range(0, len(i), 100_000):
-                part = i[at : at + 100_000]
-                part = part[(sketch[part] == sketch[part + by]).sum(axis=1) >= LEAST_EQUAL]
-                a.append(item[part])
-                b.append(item[part + by])
-    elif every:
-        if (label != label[0]).any():
-            for i in range(n - 1):
-                j = i + 1 + np.flatnonzero((equal(i, slice(i + 1, n)) >= 0) & (label[i + 1 :] != label[i]))
-                a.append(np.full(len(j), item[i]))
-                b.append(item[j])
-    else:
-        best, known, out, at = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool), 0
-        for _ in range(n - 1):
-            out[at] = False
-            same = equal(at, slice(0, n))
-            better = same > best
-            best[better], known[better] = same[better], at
-            at = int(np.argmax(np.where(out, best, -2)))
-            if best[at] >= 0:
-                a.append(item[known[at] : known[at] + 1])
-                b.append(item[at : at + 1])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for by in range(1, min(SMALL, len(item))):
+        i = np.flatnonzero(band[:-by] == band[by:])
+        if not len(i):
+            break
+        i = i[5 * np.minimum(size[i], size[i + by]) >= 4 * np.maximum(size[i], size[i + by])]
+        i = i[(sketch[i] == sketch[i + by]).sum(axis=1) >= LEAST_EQUAL]
+        a.append(item[i])
+        b.append(item[i + by])
+    a, b = np.concatenate(a), np.concatenate(b)
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _candidate_pairs(held: DataFrame, every: bool = False, block: int = BLOCK) -> DataFrame:
-    """held: (item, size, sketch, label, band, n), a row for each band that an item shares; n is how many items the band has."""
-    buckets = max(1, held.count() // BUCKET_ROWS)
-    alone = F.col("n") > SMALL
-    rows = held.withColumns({"alone": alone, "bucket": F.when(alone, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(buckets)))})
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    pairs = rows.select("item", "size", "sketch", "label", "band", "alone", "bucket", "lo", "hi").groupBy("alone", "bucket", "lo", "hi").applyInPandas(lambda group: _candidates(every, group), "a long, b long")
-    return materialize(pairs.distinct(), "near-pairs")
+def similar_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (root, member) that span the components of sets under a Jaccard similarity of at least 0.8, all pairs compared in full."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    both = np.zeros(n * n, np.float32)
+    # Rare shingles: their holders, pair by pair.
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    rare = count[shingle] <= DENSE
+    s, o = shingle[rare], owner[rare]
+    held, some = [], 0
+    for by in range(1, DENSE + 1):
+        i = np.flatnonzero(s[:-by] == s[by:]) if by < len(s) else np.zeros(0, np.int64)
+        held.append(o[i] * n + o[i + by])
+        some += len(i)
+        if held and (some > n * n or not len(i)):  # counted when there is enough to count
+            both += np.bincount(np.concatenate(held), minlength=n * n)
+            held, some = [], 0
+        if not len(i):
+            break
+    both = both.reshape(n, n)
+    # Common ones: a product of their incidence, some columns at a time.
+    s, o = shingle[~rare], owner[~rare]
+    column = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])) if len(s) else s
+    for at in range(0, int(column[-1]) + 1 if len(s) else 0, 1024):
+        i = np.flatnonzero((column >= at) & (column < at + 1024))
+        held = np.zeros((n, 1024), np.float32)
+        held[o[i], column[i] - at] = 1
+        both += np.triu(held @ held.T, 1)
+    i, j = np.nonzero(5 * both >= 4 * (size[:, None] + size - both))
+    apart = i < j
+    forest = _Forest(n)
+    forest.link(i[apart], j[apart])
+    root = forest.roots(np.arange(n))
+    moved = np.flatnonzero(root != np.arange(n))
+    return root[moved], moved
+
+
+def _crowd_links(crowd: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """crowd: (item, band), sets: (item, size, shingles). (a, b): links that span the components of the items of each band under a similarity of at least 0.8.
+
+    A band's items are dealt into blocks, each compared in full by itself. Where a band has more than one block, one item
+    of each component found so far meets those of the others; then the items outside the band's largest component
+    meet all others, block by block: only pairs that are joined already are left out.
+    """
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("item").drop_duplicates("item")
+        item = group["item"].to_numpy(np.int64)
+        a, b = similar_forest([np.frombuffer(x, np.uint64) for x in group["shingles"]]) if len(item) > 1 else (np.zeros(0, int),) * 2
+        return pd.DataFrame({"a": item[a], "b": item[b]})
+
+    def met(rows: DataFrame, *key: str) -> DataFrame:
+        return materialize(rows.select(*key, "item", "shingles").groupBy(*key).applyInPandas(join, "a long, b long").distinct(), "near-crowd")
+
+    def dealt(rows: DataFrame, name: str, *key: str) -> DataFrame:
+        """rows with a block each, and how many blocks there are for their key."""
+        sizes = rows.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias(f"{name}s"))
+        return rows.join(sizes, list(key)).withColumn(name, F.pmod(F.xxhash64("item"), F.col(f"{name}s")).cast("int"))
+
+    narrow = materialize(dealt(crowd.join(sets.select("item", "size"), "item"), "block", "band"), "near-dealt")
+    edges = met(narrow.join(sets.select("item", "shingles"), "item"), "band", "block")
+    wide = narrow.where("blocks > 1").select("item", "band", "size")
+    if not wide.limit(1).count():
+        return edges
+    for last in (False, True):
+        labels = components(edges).select(F.col("node").alias("item"), "label")
+        named = materialize(wide.join(labels, "item", "left").withColumn("label", F.coalesce("label", "item")), "near-named")
+        if not last:
+            first = named.groupBy("band", "label").agg(F.min_by(F.struct("item", "size"), "item").alias("s")).select("band", "s.*")
+            edges = edges.union(met(dealt(first, "block", "band").join(sets.select("item", "shingles"), "item"), "band", "block"))
+    main = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("label", "n").alias("main"))
+    split = dealt(named.join(main, "band").withColumn("minor", F.col("label") != F.col("main")), "block", "band", "minor")
+    minors = split.where("minor").groupBy("band").agg(F.max("blocks").alias("minors"))
+    majors = split.where("not minor").groupBy("band").agg(F.max("blocks").alias("majors"))
+    split = split.join(minors, "band").join(majors, "band")
+    # A block of the largest component meets each of the others' blocks; these meet one another too.
+    others = F.when(F.col("minor"), F.concat(F.transform(F.sequence(F.lit(1), "majors"), lambda x: -x), F.sequence(F.lit(0), F.col("minors") - 1))).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
+    pairs = split.withColumn("own", F.when(F.col("minor"), F.col("block")).otherwise(-1 - F.col("block"))).withColumn("other", F.explode(others))
+    pairs = pairs.select("band", "item", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return edges.union(met(pairs.join(sets.select("item", "shingles"), "item"), "band", "lo", "hi"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -377,12 +422,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close("text_a", "text_b")).select("a", "b"), "near-links")
 
 
-def near_items(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_items(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, item) of every row, where key is the text's hash and item its shingle set's, and (node, label) of the items that have near copies.
 
     Two texts are near copies if the sets of their five-word shingles have a similarity of at least 0.8. Candidates share a band of
-    the sets' MinHash and are then compared shingle by shingle, so no other pair is linked. Of a band that many share, first a spanning
-    forest is compared, then all pairs that this has left apart: every candidate is compared or already joined.
+    the sets' MinHash and are then compared shingle by shingle, so no other pair is linked. The sets of a band that many share are
+    compared where they lie, and only links that span their components come out: every candidate is compared or already joined.
     """
 
     def sign(texts: pd.Series) -> pd.DataFrame:
@@ -400,30 +445,29 @@ def near_items(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = materialize(marked.where("size > 0").groupBy("item").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("size", "sketch", "bands")]), "near-distinct")
     routed = distinct.select("item", F.explode("bands").alias("band"))
     shared = routed.join(routed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band")
-    held = materialize(shared.join(distinct.select("item", "size", "sketch"), "item").withColumn("label", F.col("item")), "near-bands")
-    pairs = _candidate_pairs(held)
-    crowd = held.where(F.col("n") > SMALL)
+    held = materialize(shared.join(distinct.select("item", "size", "sketch"), "item"), "near-bands")
+    few = held.where(F.col("n") <= SMALL)
+    buckets = max(1, few.count() // PAIR_ROWS)
+    few = few.select("item", "size", "sketch", "band", F.pmod(F.xxhash64("band"), F.lit(buckets)).alias("bucket"))
+    pairs = materialize(few.groupBy("bucket").applyInPandas(_candidates, "a long, b long").distinct(), "near-pairs")
+    crowd = held.where(F.col("n") > SMALL).select("item", "band")
     wanted = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).union(crowd.select("item")).distinct()
     keys = bounded(materialize(distinct.select("item", "key").join(wanted, "item"), "near-wanted"), 1_000_000)
     texts = materialize(docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key").dropDuplicates(["item"]).select("item", "text"), "near-texts")
     edges = _verified(pairs, texts)
-    labels = components(edges)
     if crowd.limit(1).count():
-        named = labels.select(F.col("node").alias("item"), F.col("label").alias("found"))
-        apart = materialize(crowd.join(named, "item", "left").withColumn("label", F.coalesce("found", "item")).drop("found"), "near-crowd")
-        rest = _candidate_pairs(apart, every=True)
-        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
-        if rest.limit(1).count():
-            labels = components(edges.union(_verified(rest, texts)))
-    return marked.select("doc_id", "key", "item"), labels
+        shingles = F.pandas_udf(lambda texts: pd.Series([shingle_set(t).tobytes() for t in texts]), "binary")
+        sets = texts.join(crowd.select("item").distinct(), "item").select("item", shingles("text").alias("shingles")).select("item", (F.octet_length("shingles") / 8).cast("long").alias("size"), "shingles")
+        edges = edges.union(_crowd_links(crowd, materialize(sets, "near-sets"), block))
+    return marked.select("doc_id", "key", "item"), components(edges)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs without all but one row of each class of near copies: the one of the least (doc_id, hash of the text) stays, whole and once; a null doc_id is the largest.
 
     Null and empty texts are copies of one another. Rows that share a doc_id, null or not, are a class only if their texts are. Columns and null texts: as they are.
     """
-    marked, labels = near_items(docs)
+    marked, labels = near_items(docs, block)
     linked = marked.join(bounded(labels, 1_000_000), F.col("item") == F.col("node"), "left").select("doc_id", "key", F.coalesce("label", "item").alias("label"))
     first = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s"))
     stays = bounded(materialize(first.select(F.col("s.doc_id").alias("stays"), F.col("s.key").alias("stays_key")), "near-stays"), 1_000_000)

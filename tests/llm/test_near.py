@@ -70,11 +70,49 @@ def test_a_crowd_of_copies_of_copies(spark):
             if jaccard(rows[i][1], rows[j][1]) >= 0.8:
                 a, b = up[i], up[j]
                 up = [min(a, b) if x in (a, b) else x for x in up]
-    assert kept(spark, rows) == {rows[x][0] for x in set(up)}
+    want = {rows[x][0] for x in set(up)}
+    assert kept(spark, rows) == want
+    assert {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS), block=40).collect()} == want
     crowd = [(n, " ".join(rows[0][1].split()[: 200 - n % 3] + [f"z{n}"])) for n in range(120)]  # one band for all
     assert kept(spark, crowd) == {0}
 
 
+def test_a_crowd_just_below_and_above_the_threshold(spark):
+    rng = np.random.default_rng(16)
+    text, rows = zipf(rng, 150), []
+    for n in range(300):  # all of one text, with 2 to 5 words changed: alike or not, pair by pair
+        words = list(text)
+        for i in rng.choice(150, int(rng.integers(2, 6)), replace=False):
+            words[i] = f"d{n}x{i}"
+        rows.append((n, " ".join(words)))
+    up = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    assert 1 < len(set(up)) < 300
+    for block in (2048, 70, 20):
+        assert {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCS), block=block).collect()} == set(up)
+
+
+def test_forests_of_sets_equal_brute_force():
+    rng = np.random.default_rng(17)
+    for n, common in ((40, 30), (150, 60), (150, 3)):
+        sets = [np.unique(np.concatenate([np.arange(common), rng.integers(100, 140 if common > 3 else 10_000, rng.integers(1, 14))])).astype(np.uint64) for _ in range(n)]
+        up = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                if simhash.similar(sets[i], sets[j]):
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if x in (a, b) else x for x in up]
+        root, member = simhash.similar_forest(sets)
+        found = list(range(n))
+        for r, m in zip(root.tolist(), member.tolist()):
+            found[m] = r
+        assert found == up
+
+
 def test_null_and_repeated_ids_are_rows_like_any_other(spark):
     rng = np.random.default_rng(14)
     text = lambda: " ".join(zipf(rng, 60))
