@@ -1,11 +1,16 @@
 """Main-text extraction by minimum-cut labelling of a page's blocks.
 
-A page is read into blocks of text. A small linear classifier over a block's surroundings, tag, links and
-words gives each a cost for either label; these are its capacities to the two terminals. Blocks that follow
-one another, and blocks that share a container, are tied by smoothness edges, stronger the nearer they
-stand in the DOM. The minimum cut, found by maximum flow, parts the article from the boilerplate.
+A page is read into blocks of text. A linear classifier gives each a cost for either label; these are its
+capacities to the two terminals. Blocks that follow one another, and blocks that share a container, are tied by
+smoothness edges, stronger the nearer they stand in the DOM. The minimum cut, found by maximum flow, parts the article
+from the boilerplate: it settles blocks of which the classifier is not sure, like a one-word paragraph between two of prose,
+or a sentence among links.
 
-The classifier's weights are set by hand (fixed values below): no labelled pages are given.
+The classifier adds two things: what the block's text looks like, and where it stands. How much a text's looks count is
+learned from the pages: blocks in article or main elements, and blocks in navigation, footers, forms and the like,
+are examples of the two labels; a logistic fit of TEXT_PRIOR strength around fixed weights tells them apart by their texts
+alone. What elements and class names count is fixed; a class name by itself never outweighs an article's
+prose and neighbours unless it says plainly what the block is (STRONG).
 """
 
 from __future__ import annotations
@@ -13,21 +18,32 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# How elements count, in logits of being article text.
-WEIGHTS = {"base": -0.5, "article": 4.0, "boiler": -8.0, "hint": -8.0, "body_hint": 2.0, "links": -5.0, "log_words": 0.5, "sentence": 0.5, "p": 1.0, "heading": 0.7, "item": -0.7, "legal": -2.0}
-NEAR, SIBLING, SCALE = 1.2, 0.8, 1000
+from .common import materialize
+
+# Fixed values, in logits of being article text. Of the text's looks these are where learning starts.
+TEXT = {"base": -0.5, "words": 0.5, "links": -5.0, "sentence": 0.5, "p": 1.0, "heading": 0.7, "item": -0.7, "legal": -2.0}
+PLACE = {"article": 4.0, "body": 2.0, "boiler": -10.0, "strong": -10.0, "weak": -2.0}
+#: The most that a text's looks count, the strength of TEXT against examples, and the pages that examples are taken from, about.
+TEXT_MOST, TEXT_PRIOR, SAMPLE_PAGES = 2.5, 50.0, 4000
+NEAR, SIBLING, SCALE = 3.0, 0.8, 1000
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math meter nobr output progress q ruby rb rp rt rtc s samp small span strike strong sub sup svg time tt u var wbr path g picture source".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = set("nav footer aside form menu dialog head button select option fieldset datalist object audio video canvas svg math".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-HINTS = set("ad ads adv advert advertisement adverts advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup popover modal overlay nav navbar navigation menu menus submenu sidebar sidebars aside footer foot masthead topbar toolbar breadcrumb breadcrumbs crumbs share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox widget widgets pagination pager tags tagcloud copyright legal disclaimer skip hidden sr outbrain taboola paywall".split())
-COMMENTS = set("comment comments commentlist commenting respond reply replies disqus discussion reviews feedback".split())
+# Parts of class names and ids. STRONG and COMMENTS say what a block is; WEAK ones may also name what an article is about.
+STRONG = set("ad ads adv advert advertisement adverts advertising sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notification notifications popup popover modal overlay nav navbar navigation menu menus submenu sidebar sidebars aside footer foot masthead topbar toolbar breadcrumb breadcrumbs crumbs share sharing related recommended recommendations newsletter subscribe subscription signup login searchbox widget widgets pagination pager tagcloud copyright skip hidden sr outbrain taboola paywall".split())
+COMMENTS = set("comment comments commentlist commenting respond reply replies disqus".split())
+WEAK = set("notice notices alert alerts social search tags legal disclaimer discussion reviews feedback".split())
+# Parts of class names that say where or how a block stands, not what it is.
+NEUTRAL = set("site page main top bottom left right block box bar container wrapper wrap inner outer list item items section area group row col column panel unit slot module component global local primary secondary js is has the".split())
 BODY_HINTS = set("article content post entry story body text main maincontent articlebody".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure figcaption details".split())
@@ -41,11 +57,26 @@ LEGAL = re.compile(r"^\W*©|^\W*copyright\b|\ball rights reserved\b", re.I)
 
 
 class _Open:
-    __slots__ = ("name", "boiler", "article", "body", "parent", "depth", "up")
+    __slots__ = ("name", "boiler", "strong", "weak", "article", "body", "parent", "depth", "up")
 
     def __init__(self, name: str, up: "_Open | None") -> None:
         self.name, self.up, self.depth = name, up, up.depth + 1 if up else 0
-        self.boiler, self.article, self.body = (up.boiler, up.article, up.body) if up else (0, 0, 0)
+        self.boiler, self.strong, self.weak, self.article, self.body = (up.boiler, up.strong, up.weak, up.article, up.body) if up else (0, 0, 0, 0, 0)
+
+
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """Whether the names in a class or id are strong signs of boilerplate, weak ones, or signs of an article's body. A name of which only a part is a sign ("social-policy") is a weak one."""
+    strong = weak = body = False
+    for name in value.split():
+        parts = {w.rstrip("0123456789") for w in re.split(r"[^a-z0-9]+", CAMEL.sub(" ", name).lower())} - {""}
+        signs = parts & (STRONG | COMMENTS)
+        if signs and (parts - NEUTRAL <= STRONG | COMMENTS | WEAK or parts & COMMENTS):
+            strong = True
+        elif signs or parts & WEAK:
+            weak = True
+        elif parts & BODY_HINTS:
+            body = True
+    return strong, weak, body
 
 
 def _judge(node: _Open, attrs: str) -> None:
@@ -53,15 +84,17 @@ def _judge(node: _Open, attrs: str) -> None:
     name = node.name
     if name in ("html", "body"):
         return
-    outer = name in ("article", "main")
+    outer, strong, weak, body, comments, header = name in ("article", "main"), False, False, False, False, False
     if name in BOILER or name == "header" and not node.article:
         node.boiler += 1
-    words: set[str] = set()
     if attrs and attrs.strip(" /"):
         for key, a, b, c in ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                words.update(re.split(r"[^a-z0-9]+", CAMEL.sub(" ", value).lower()))
+                found = _named(value)
+                strong, weak, body = strong or found[0], weak or found[1], body or found[2]
+                words = set(re.split(r"[^a-z0-9]+", CAMEL.sub(" ", value).lower()))
+                comments, header = comments or bool(words & COMMENTS), header or "header" in words
             elif key == "role":
                 node.boiler += value.strip().lower() in ROLES
                 node.article += value.strip().lower() in ("main", "article")
@@ -69,12 +102,13 @@ def _judge(node: _Open, attrs: str) -> None:
                 node.boiler += 1
         if re.search(r"(?:^|\s)hidden(?:\s|$|/)", re.sub(ATTR, " ", attrs)):
             node.boiler += 1
-        bare = {w.rstrip("0123456789") for w in words}
-        if bare & COMMENTS or bare & HINTS and not outer or "header" in bare and not node.article and not outer:
-            node.boiler += 1
-        elif bare & BODY_HINTS:
+        if comments or strong and not outer or header and not node.article and not outer:
+            node.strong += 1
+        elif weak and not outer:
+            node.weak += 1
+        elif body:
             node.body += 1
-    if outer and not words & COMMENTS:
+    if outer and not comments:
         node.article += 1
 
 
@@ -144,7 +178,7 @@ def blocks(page: str) -> list[tuple[str, float, _Open]]:
                 continue
             probe = _Open(name, node)
             _judge(probe, m[3])
-            if probe.boiler == node.boiler:
+            if (probe.boiler, probe.strong) == (node.boiler, node.strong):
                 continue
             # An inline element that is an aside of its own: a block apart.
             end = re.compile(rf"</{name}\s*>|\Z", re.I).search(page, at)
@@ -183,24 +217,48 @@ def _far(a: _Open, b: _Open) -> int:
     return steps
 
 
-def logit(text: str, links: float, node: _Open) -> float:
-    w = WEIGHTS
-    total = w["base"] + w["links"] * links + w["log_words"] * len(text.split()) ** 0.25
-    if node.boiler:
-        total += w["boiler"] * min(2, node.boiler)
-    else:
-        total += w["body_hint"] * bool(node.body)
-    total += w["article"] * bool(node.article)
-    total += w["sentence"] * bool(ENDS.search(text[-8:]))
-    if node.name == "p":
-        total += w["p"]
-    elif node.name in HEADINGS:
-        total += w["heading"]
-    elif node.name in ("li", "td", "th", "dt"):
-        total += w["item"]
-    if not node.article and len(text) < 300 and LEGAL.search(text):
-        total += w["legal"]
-    return total
+def looks(text: str, links: float, node: _Open) -> tuple[float, ...]:
+    """What TEXT weighs, in coarse steps, so that examples of a kind can be counted."""
+    name = node.name
+    return (
+        1.0, round(4 * min(len(text.split()), 5000) ** 0.25) / 4, round(10 * links) / 10, float(bool(ENDS.search(text[-8:]))), float(name == "p"), float(name in HEADINGS),
+        float(name in ("li", "td", "th", "dt")), float(len(text) < 300 and bool(LEGAL.search(text))),
+    )
+
+
+def example(node: _Open) -> int | None:
+    """1 for a block that stands in an article without any sign against it, 0 for one in an element of boilerplate, else None."""
+    if node.boiler and not node.article:
+        return 0
+    return 1 if node.article and not (node.boiler or node.strong or node.weak) else None
+
+
+def learn(seen: np.ndarray, label: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Weights of looks: a logistic fit to counted examples, both labels weighed alike, held to TEXT by TEXT_PRIOR. Without examples of both: TEXT."""
+    start = np.array(list(TEXT.values()))
+    if len(set(label.tolist())) < 2:
+        return start
+    n = np.array([count[label == k].sum() for k in (0, 1)], float)
+    weight, w = count * (n.sum() / (2 * n[label])), start.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(seen @ w, -35, 35)))
+        slope = seen.T @ (weight * (p - label)) + TEXT_PRIOR * (w - start)
+        step = np.linalg.solve((seen.T * (weight * p * (1 - p))) @ seen + TEXT_PRIOR * np.eye(len(w)), slope)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def logit(text: str, links: float, node: _Open, weights: np.ndarray | None = None) -> float:
+    w = list(TEXT.values()) if weights is None else weights
+    seen = looks(text, links, node)
+    if node.article:
+        seen = (*seen[:7], 0.0)  # an article may speak of rights
+    total = max(-TEXT_MOST, min(TEXT_MOST, float(sum(a * b for a, b in zip(seen, w)))))
+    total += PLACE["boiler"] * min(2, node.boiler) + PLACE["strong"] * min(2, node.strong) + PLACE["weak"] * min(2, node.weak)
+    return total + PLACE["article"] * bool(node.article) + PLACE["body"] * (bool(node.body) and not (node.boiler or node.strong))
 
 
 def min_cut(excess: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -274,23 +332,57 @@ def min_cut(excess: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
                 path.pop()
 
 
-def main_text(page: str | None) -> str:
-    """The article of a whole page: its blocks' texts joined by line feeds; empty for null, empty and all-boilerplate pages."""
+def labelled(page: str | None, weights: np.ndarray | None = None, near: float = NEAR, sibling: float = SIBLING) -> tuple[list[str], list[bool], list[bool]]:
+    """The blocks of a whole page, which of them the classifier alone would keep, and which the minimum cut keeps."""
     found = blocks(page or "")
-    if not found:
-        return ""
-    excess = [round(SCALE * logit(*b)) for b in found]
-    edges = [(i, i + 1, round(SCALE * NEAR / (1 + _far(found[i][2], found[i + 1][2])))) for i in range(len(found) - 1)]
+    excess = [round(SCALE * logit(*b, weights)) for b in found]
+    edges = [(i, i + 1, round(SCALE * near / max(1, _far(found[i][2], found[i + 1][2])))) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, (_, _, node) in enumerate(found):
         container = id(node.up)
         if container in last and last[container] < i - 1:
-            edges.append((last[container], i, round(SCALE * SIBLING)))
+            edges.append((last[container], i, round(SCALE * sibling)))
         last[container] = i
-    return "\n".join(b[0] for b, keep in zip(found, min_cut(excess, edges)) if keep)
+    return [b[0] for b in found], [x > 0 for x in excess], min_cut(excess, edges) if found else []
+
+
+def main_text(page: str | None, weights: np.ndarray | None = None) -> str:
+    """The article of a whole page: its blocks' texts joined by line feeds; empty for null, empty and all-boilerplate pages."""
+    texts, _, keep = labelled(page, weights)
+    return "\n".join(t for t, k in zip(texts, keep) if k)
+
+
+def learned(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
+    """The weights of looks, from about so many pages (those whose ids hash least); examples are counted by kind, so few rows are fitted at any size. Null and empty pages are no examples."""
+    kinds = list(TEXT)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*looks(*b), label) for page in batch["html"] for b in blocks(page or "") if (label := example(b[2])) is not None]
+            yield pd.DataFrame(rows, columns=[*kinds, "label"])
+
+    share = min(1.0, sample_pages / max(1, pages.count()))
+    some = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("html")
+    counted = some.mapInPandas(count, ", ".join(f"{k} double" for k in kinds) + ", label int").groupBy(*kinds, "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    fit = lambda rows: pd.DataFrame({"w": [learn(rows[kinds].to_numpy(float), rows["label"].to_numpy(), rows["n"].to_numpy())]})
+    made = materialize(counted.groupBy().applyInPandas(lambda rows: fit(rows.sort_values([*kinds, "label"])), "w array<double>"), "html-weights").first()
+    return np.array(made["w"] if made else list(TEXT.values()))
+
+
+def extracted(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+    """Per row of pages: page_id, url, text (the main text of the whole html), n_chars, its code points, n_blocks, and n_changed, how many of them the cut labels otherwise than the classifier alone.
+
+    Null html counts as empty; repeated rows are read each; extra columns are ignored. An empty table gives no rows.
+    """
+    weights = learned(pages, sample_pages)
 
+    @F.pandas_udf("text string, n_blocks long, n_changed long")
+    def read(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in pages:
+            texts, alone, keep = labelled(page, weights)
+            rows.append(("\n".join(t for t, k in zip(texts, keep) if k), len(texts), sum(a != k for a, k in zip(alone, keep))))
+        return pd.DataFrame(rows, columns=["text", "n_blocks", "n_changed"])
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """Per row of pages: page_id, url, text (the main text of the whole html) and n_chars, its code points. Null html counts as empty; repeated rows are read each; extra columns are ignored."""
-    text = F.pandas_udf(lambda pages: pd.Series([main_text(p) for p in pages], dtype=object), "string")
-    return pages.select("page_id", "url", text("html").alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    held = pages.select("page_id", "url", read("html").alias("s"))
+    return held.select("page_id", "url", "s.text", F.char_length("s.text").cast("long").alias("n_chars"), "s.n_blocks", "s.n_changed")

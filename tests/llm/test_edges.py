@@ -378,7 +378,7 @@ def test_minimum_cut_equals_brute_force():
 
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hi é.</article>", "x"), (1, "u", "<article><p>Hi é.</article>", "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")
-    got = sorted(map(str, (tuple(r) for r in htmlcut.extracted(pages).collect())))
+    got = sorted(map(str, (tuple(r)[:4] for r in htmlcut.extracted(pages).collect())))
     assert got == sorted(map(str, [(1, "u", "Hi é.", 5), (1, "u", "Hi é.", 5), (None, None, "", 0)]))
     assert htmlcut.main_text("<div><p>x<span" * 20_000) is not None
 
