@@ -60,7 +60,7 @@ def test_what_texts_look_like_is_learned():
                 counted[key] = counted.get(key, 0) + 1
     keys = np.array(list(counted))
     w = htmlcut.learn(keys[:, :-1], keys[:, -1].astype(int), np.array(list(counted.values()), float))
-    assert w[2] < htmlcut.TEXT["links"] + 1 and w[1] > htmlcut.TEXT["words"]
+    assert w[2] < htmlcut.TEXT["links"] + 1 and w[3] > htmlcut.TEXT["sentence"]
     right = sum(((key[:-1] @ w > 0) == key[-1]) * n for key, n in zip(keys, counted.values()))
     assert right >= 0.95 * sum(counted.values())
     nothing = htmlcut.learn(np.zeros((0, 8)), np.zeros(0, int), np.zeros(0))
