@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = encoder(tokenizer).batch, 0
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):  # few texts at a time as Python objects
             out: list[tuple] = []
             for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).cast(pa.binary()).to_pylist())):
                 ids = np.append(found, np.uint32(end_id)).astype("<u4")

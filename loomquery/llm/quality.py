@@ -28,7 +28,7 @@ RUN = 6
 _PRIME = 0x100000001B3
 _UNPRIME = pow(_PRIME, -1, 1 << 64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_PART = 1 << 20
+_PART = 1 << 18
 
 
 class _Powers:
@@ -37,7 +37,8 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n + 1:
-            fill = lambda p: np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, p, np.uint64), dtype=np.uint64)])
+            n = min(2 * n, max(n, _PART))
+            fill = lambda p: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, p, np.uint64), dtype=np.uint64)])
             cls.up, cls.down = fill(_PRIME), fill(_UNPRIME)
         return cls.up[: n + 1], cls.down[: n + 1]
 

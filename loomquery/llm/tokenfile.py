@@ -48,7 +48,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, parts
             held, names, size = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, SEGMENT.types)], schema=SEGMENT)
 
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):  # few texts at a time as Python objects
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).batch(batch.column(1).cast(pa.binary()).to_pylist())):
                 if held and size + len(ids) >= SEGMENT_IDS:
                     yield flush()

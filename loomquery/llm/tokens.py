@@ -9,14 +9,14 @@ from functools import cache
 import numpy as np
 
 #: Words that a worker remembers, each of at most CACHED_BYTES; the cache is emptied when full.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 CACHED_BYTES = 48
 #: ASCII characters that form no token with what stands before them in a word.
 TAIL = b".,;:!?*#$%&"
 #: Bytes of text whose words are looked up together.
-PART_BYTES = 4_000_000
-#: Words encoded in one call of the library.
-CALL_WORDS = 50_000
+PART_BYTES = 2_000_000
+#: Words encoded in one call of the library, which takes some 2 kB a word meanwhile.
+CALL_WORDS = 8_000
 
 
 class WordEncoder:
