@@ -7,6 +7,7 @@ before the joins' deduplication and so reach the scans; only the columns a plan
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,38 @@ def aggregate(name: str, c: Column | None) -> Column:
     return known[name](c)
 
 
+#: percentile_approx places a rank within 1 / ACCURACY of the rows; the bracket round the median is five times as wide on either side.
+ACCURACY = 100_000
+
+
+def median(frame: DataFrame, keys: list[str], measure: str, name: str = VALUE) -> DataFrame:
+    """The exact median of a column by groups (or of all rows), as percentile(0.5) has it.
+
+    Approximate quantiles bracket the middle; the rows below are counted, and only values within the bracket, about one in
+    10,000 of a group's rows, are sorted. So no task holds all values of a group. A group without values has a null.
+    """
+    m, share = F.col(f"`{measure}`").cast("double"), 5 / ACCURACY
+    group = [F.col(f"`{k}`") for k in keys]
+    rows = frame.select(*[c.alias(f"__k{i}") for i, c in enumerate(group)], m.alias("__m"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    bounds = rows.groupBy(*names).agg(F.percentile_approx("__m", [0.5 - share, 0.5 + share], ACCURACY).alias("b"), F.count("__m").alias("n")).select(*[F.col(c).alias(f"_{c}") for c in names], F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"), "n")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]) if names else F.lit(True)
+    held = rows.where("__m is not null").join(bounds if names else F.broadcast(bounds), same)  # without groups, bounds is one row
+    # Rows below the bracket count as one value.
+    value = F.when(F.col("__m") >= F.col("lo"), F.col("__m"))
+    counted = held.where(F.col("__m") <= F.col("hi")).groupBy(*names, value.alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    order = Window.partitionBy(*names).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counted.withColumn("upto", F.sum("c").over(order))
+    # The middle two ranks, from 1; of an odd number they are one.
+    rank = lambda r: F.min(F.when(F.col("upto") >= r, F.col("v")))
+    found = upto.groupBy(*names).agg((rank(F.floor((F.col("n") + 1) / 2)) * 0.5 + rank(F.floor(F.col("n") / 2) + 1) * 0.5).alias(name))
+    if not names:
+        return found
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in names], name)
+    every = bounds.select(*[F.col(f"_{c}").alias(c) for c in names])
+    return every.join(found, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]), "left").select(*[F.col(c).alias(k) for c, k in zip(names, keys)], name)
+
+
 @dataclass
 class Scope:
     """The tables of a plan, joined, and how its names resolve there."""
@@ -205,8 +238,7 @@ def _ordered(frame: DataFrame, c: Column | None, descending: bool, plan: Plan, n
         raise PlanError("the limit must be over 0")
     key = None if c is None else (c.desc_nulls_first() if nulls_first else c.desc_nulls_last()) if descending else c.asc_nulls_last()
     if plan.include_ties and plan.limit and key is not None:
-        # WindowGroupLimit keeps a partition's first ranks before the one task that ranks them all.
-        return frame.withColumn("__rank", F.rank().over(Window.orderBy(key))).where(F.col("__rank") <= plan.limit).orderBy(key).drop("__rank")
+        return _with_ties(frame, c, descending, nulls_first, key, plan.limit)
     if key is not None:
         frame = frame.orderBy(key)
     if plan.limit:
@@ -214,19 +246,33 @@ def _ordered(frame: DataFrame, c: Column | None, descending: bool, plan: Plan, n
     return frame.limit(ROW_CAP) if cap else frame
 
 
+def _with_ties(frame: DataFrame, c: Column, descending: bool, nulls_first: bool, key: Column, k: int) -> DataFrame:
+    """The rows that sort no later than the k-th. A top-k finds its key as a scalar subquery, and a filter keeps the rest of the work where the rows are."""
+    first = frame.select(c.alias("__key")).orderBy(F.col("__key").desc_nulls_first() if nulls_first else F.col("__key").desc_nulls_last() if descending else F.col("__key").asc_nulls_last()).limit(k)
+    least = (F.min if descending else F.max)("__key").alias("edge")
+    last = first.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count("__key").alias("known"), least).alias("last")).scalar()
+    reached = c >= last["edge"] if descending else c <= last["edge"]
+    every = (last["n"] < k) if nulls_first else (last["known"] < k)  # the k-th is null, or there is none
+    return frame.where(every | F.coalesce(reached, F.lit(False)) | (c.isNull() if nulls_first else F.lit(False))).orderBy(key)
+
+
 def lookup(s: Scope) -> DataFrame:
     """Projection, filters, DISTINCT, sort, limit."""
     p = s.plan
     targets = [t for t in dict.fromkeys((*p.group_by, *p.target_columns)) if t != "*"] if s.joined else [t for t in p.target_columns if t != "*"]
     frame = s.where(s.frame, _filters(s))
     sort = s.ref(p.sort_column) if p.sort_column else None
-    if sort is not None and (p.intent == "ranking" or p.limit or p.sort_direction) and not any(s.ref(f.column) == sort and f.operator in ("is_null", "is_not_null") for f in _filters(s)):
+    known = sort is not None and (p.intent == "ranking" or p.limit or p.sort_direction) and not any(s.ref(f.column) == sort and f.operator in ("is_null", "is_not_null") for f in _filters(s))
+    if known:
         frame = frame.where(col(sort).isNotNull())
     if s.joined and (divide := _division(s)):
         ids = [col(Ref(s.tables[0], c)) for c in s.catalog.grain(s.tables[0])] if not p.group_by else [s.key(g) for g in p.group_by]
-        window = Window.partitionBy(*ids)
-        for ref, values in divide:
-            frame = frame.withColumn("__all", F.size(F.collect_set(F.when(col(ref).isin(values), col(ref))).over(window))).where(F.col("__all") == len(set(values))).drop("__all")
+        # Groups that show every value, then the rows of those groups.
+        shown = [F.count_distinct(F.when(col(r).isin(v), col(r))).alias(f"__all{i}") for i, (r, v) in enumerate(divide)]
+        whole = frame.groupBy(*[c.alias(f"__group{i}") for i, c in enumerate(ids)]).agg(*shown)
+        for i, (_, v) in enumerate(divide):
+            whole = whole.where(F.col(f"__all{i}") == len(set(v)))
+        frame = frame.join(whole, reduce(Column.__and__, [c.eqNullSafe(F.col(f"__group{i}")) for i, c in enumerate(ids)]), "left_semi")
     if targets:
         made = [(s.key(t) if t in p.group_by else col(s.ref(t))).alias(t) for t in targets]
     else:
@@ -240,7 +286,14 @@ def lookup(s: Scope) -> DataFrame:
         sort = s.ref(targets[0]) if targets else Ref(s.tables[0], s.catalog.table(s.tables[0]).df.columns[0])
         descending = (p.sort_direction or "asc").lower() == "desc"
     if unique:
-        frame = frame.select(*made).distinct()
+        refs = [s.ref(t) for t in targets]
+        if s.joined and targets and not _division(s) and not p.group_by and len({r.table for r in refs}) == 1 and (found := _reduced(s, refs[0].table, {})) is not None:
+            # All columns are of one table: the others are semi joins, and its key among them makes the rows distinct already.
+            frame = (found[0].where(col(sort).isNotNull()) if known else found[0]).select(*made)
+            if not s.catalog.is_unique(refs[0].table, tuple(r.column for r in refs)):
+                frame = frame.distinct()
+        else:
+            frame = frame.select(*made).distinct()
         shown = None if sort is None else next((F.col(f"`{t}`") for t in targets if s.ref(t) == sort), F.col(f"`{sort.column}`"))
         return _ordered(frame, shown, descending, p, cap=s.capped)
     frame = frame.select(*made, *([col(sort).alias("__sort")] if sort is not None else []))
@@ -292,6 +345,10 @@ def single_aggregate(s: Scope) -> DataFrame:
     ref = s.measure(name)
     value = aggregate(name, None if name == "count" or ref is None else col(ref)).alias(VALUE)
     frame = s.where(s.frame, _filters(s))
+    if name == "median" and not _division(s):
+        keys = [s.key(g).alias(g) for g in p.group_by]
+        out = median(frame.select(*keys, col(ref).alias("__measure")), list(p.group_by), "__measure")
+        return _sorted_groups(s, _having(out, p)) if p.group_by else _having(out, p)
     if not p.group_by:
         return _having(frame.agg(value), p)
     checks = [F.count_distinct(F.when(col(r).isin(v), col(r))).alias(f"__all{i}") for i, (r, v) in enumerate(_division(s))]
@@ -316,14 +373,56 @@ def keeps_grain(s: Scope, target: str) -> bool:
     return len(reached) == len(s.tables)
 
 
+def _reduced(s: Scope, root: str, carried: dict[str, tuple[Ref, Column]]) -> tuple[DataFrame, bool] | None:
+    """The rows of root that meet the filtered others over inner joins, with the carried columns of those (name: its reference, what to make of it), and whether each row of root stands there once for each of their values.
+
+    A table that carries nothing is a semi join. Of one that carries something, join key and carried values are made distinct before
+    the join, so nothing is multiplied by other columns. None where the joins are not all inner.
+    """
+    if any(j.join_type.lower() != "inner" for j in s.plan.joins) or len(s.tables) != len(s.plan.joins) + 1:
+        return None
+    filters: dict[str, list[Filter]] = {}
+    for f in _filters(s):
+        filters.setdefault(s.ref(f.column).table, []).append(f)
+    edges: dict[str, list[tuple[Ref, Ref]]] = {t: [] for t in s.tables}
+    for j in s.plan.joins:
+        a, b = s.catalog.resolve(f"{j.left_table}.{j.left_column}", [j.left_table]), s.catalog.resolve(f"{j.right_table}.{j.right_column}", [j.right_table])
+        edges[a.table].append((a, b))
+        edges[b.table].append((b, a))
+
+    def side(table: str, via: str | None) -> tuple[DataFrame, list[str], bool]:
+        frame, names, once = s.where(_named(s.catalog, table), tuple(filters.get(table, ()))), [n for n, (r, _) in carried.items() if r.table == table], True
+        if table != root:
+            frame = frame.withColumns({n: carried[n][1] for n in names})
+        for own, other in edges[table]:
+            if other.table == via:
+                continue
+            below, more, single = side(other.table, table)
+            if not more:
+                frame = frame.join(below.select(col(other)), col(own) == col(other), "left_semi")
+                continue
+            kept = below.select(col(other), *[F.col(f"`{n}`") for n in more])
+            whole = single and s.catalog.is_unique(other.table, (other.column,))
+            frame = frame.join(kept if whole else kept.distinct(), col(own) == col(other))
+            names, once = names + more, once and whole
+        return frame, names, once
+
+    frame, _, _ = side(root, None)
+    return frame.withColumns({n: c for n, (r, c) in carried.items() if r.table == root}), s.catalog.is_unique(root, s.catalog.grain(root))
+
+
 def joined_aggregate(s: Scope) -> DataFrame:
-    """Aggregates that joins do not multiply: rows are told apart by the grain of the measure's table, per group, before they are aggregated. Where the joins cannot repeat a row of that table, nothing needs to be deduplicated and no shuffle is spent on it."""
+    """Aggregates that joins do not multiply: rows are told apart by the grain of the measure's table, per group, before they are aggregated.
+
+    Where the joins cannot repeat a row of that table, nothing is made distinct. Over inner joins the other tables are reduced to
+    what the groups need before they are joined, so only their keys and group values are ever made distinct.
+    """
     p = s.plan
     name = p.aggregation or "count"
     ref = s.measure(name)
+    if name != "count" and ref is None:
+        raise PlanError(f"{name} needs a target column")
     target = ref.table if ref else s.tables[0]
-    frame = s.where(s.frame, _filters(s))
-    keys = [s.key(g).alias(g) for g in p.group_by]
     divide = _division(s)
     ids = [Ref(target, c) for c in s.catalog.grain(target)]
     if ref is None and p.group_by:
@@ -332,18 +431,30 @@ def joined_aggregate(s: Scope) -> DataFrame:
         null_test = any(f.operator in ("is_null", "null") and s.ref(f.column).table in s.left_joined for f in _filters(s))
         if not null_test:  # pairs of a row with what it met; with a test for null the rows alone count
             ids += [Ref(s.left_joined[-1], c) for c in s.catalog.grain(s.left_joined[-1])]
+    pairs = len(ids) > len(s.catalog.grain(target))
+    declared = all(s.catalog.is_unique(t, s.catalog.grain(t)) for t in {i.table for i in ids})
+    unique = not divide and (declared or ref is not None) and keeps_grain(s, target) and not pairs
+    unique = unique or pairs and declared and not divide and {i.table for i in ids} == set(s.tables)  # a row for each pairing of keys
+    frame = None
+    if not unique and not pairs:
+        carried = {f"__g{i}": (s.ref(g), s.key(g)) for i, g in enumerate(p.group_by)} | {f"__div{i}": (r, col(r)) for i, (r, _) in enumerate(divide)}
+        if (found := _reduced(s, target, carried)) is not None:
+            frame, unique = found
+            keys, tests = [F.col(f"__g{i}").alias(g) for i, g in enumerate(p.group_by)], [F.col(f"__div{i}") for i in range(len(divide))]
+    if frame is None:
+        frame = s.where(s.frame, _filters(s))
+        keys, tests = [s.key(g).alias(g) for g in p.group_by], [col(r).alias(f"__div{i}") for i, (r, _) in enumerate(divide)]
     held = [col(i).alias(f"__id{n}") for n, i in enumerate(dict.fromkeys(ids))]
-    held += keys + ([col(ref).alias("__measure")] if ref else []) + [col(r).alias(f"__div{i}") for i, (r, _) in enumerate(divide)]
-    rows = frame.select(*held)
-    if not (ref and not divide and keeps_grain(s, target)):
+    rows = frame.select(*held, *keys, *([col(ref).alias("__measure")] if ref else []), *tests)
+    if not unique:
         rows = rows.distinct()
     if name == "count":
-        pair = ref is None and s.left_joined and len(ids) > len(s.catalog.grain(target)) and not p.group_by
+        pair = ref is None and s.left_joined and pairs and not p.group_by
         counted = F.col("__measure") if ref else F.col(f"__id{len(ids) - 1}") if pair else F.lit(1)
         value = (F.count_distinct(counted) if p.distinct and ref else F.count(counted)).alias(VALUE)
+    elif name == "median" and not divide:
+        return _sorted_groups(s, _having(median(rows, list(p.group_by), "__measure"), p))
     else:
-        if ref is None:
-            raise PlanError(f"{name} needs a target column")
         value = aggregate(name, F.col("__measure")).alias(VALUE)
     checks = [F.count_distinct(F.when(F.col(f"__div{i}").isin(v), F.col(f"__div{i}"))).alias(f"__all{i}") for i, (_, v) in enumerate(divide)]
     out = rows.groupBy(*[F.col(f"`{g}`") for g in p.group_by]).agg(value, *checks) if p.group_by else rows.agg(value, *checks)
@@ -367,6 +478,8 @@ def derived(s: Scope) -> DataFrame:
         raise PlanError(f"{inner} needs a target column")
     value = aggregate(inner, None if ref is None else col(ref)).alias("metric")
     groups = _having(s.where(s.frame, _filters(s)).groupBy(*[s.key(g).alias(g) for g in p.group_by]).agg(value.alias(VALUE)), p)
+    if p.aggregation == "median":
+        return median(groups, [], VALUE)
     return groups.agg(aggregate(p.aggregation, F.col(VALUE).cast("double")).alias(VALUE))
 
 
