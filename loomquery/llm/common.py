@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than ASCII white space.
@@ -37,9 +37,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has no more than so many (narrow) rows, else as it is. df should be materialized: its rows are counted."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has no more than so many (narrow) rows, and the sum of weight (such as the sizes of an array column) is no more either; else as it is. df should be materialized: it is counted."""
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if weight is None else weight), F.lit(0))).first()
+    return F.broadcast(df) if max(n, held) <= rows else df
 
 
 def keep_columns(df: DataFrame, *drop: str) -> list[str]:

@@ -115,17 +115,20 @@ def _plan(docs: DataFrame, p: MixParams) -> DataFrame:
     blocks = blocks.withColumn("part", F.when(F.col("upto") <= F.col("rest"), 2).when(F.col("upto") - F.col("words") < F.col("rest"), 1).otherwise(0))
     blocks = materialize(blocks, "mix-blocks")
 
-    # In the one block of a source that is cut, the documents in hashed order are taken as long as each fits into what is left,
-    # and at last the smallest of the others if that comes nearer to the target.
+    # In the one block of a source that is cut, the documents in hashed order are taken as long as they fit into what is left. Three
+    # times over, those of the others that are not too large go on; at last the one that brings the sum nearest to the target.
     cut = bounded(materialize(blocks.where("part = 1").select("src_no", "block", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("room")), "mix-cut"), 100_000)
-    fits = "aggregate(units, named_struct('room', room, 'got', cast(array() as array<bigint>)), (a, u) -> if(u.size <= a.room, named_struct('room', a.room - u.size, 'got', array_append(a.got, u.key)), a))"
-    spare = "array_sort(transform(filter(units, u -> u.size < 2 * fit.room and not array_contains(fit.got, u.key)), u -> named_struct('size', u.size, 'key', u.key)))"
-    chosen = (
-        in_blocks(narrow).join(cut, ["src_no", "block"]).groupBy("src_no", "block", "room", "key").agg(F.sum("size").alias("size"))
-        .groupBy("src_no", "block", "room").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(p.seed), F.col("key")).alias("at"), "key", F.col("size").cast("double").alias("size")))).alias("units"))
-        .select("src_no", "block", "units", F.expr(fits).alias("fit")).select("src_no", "block", F.col("fit.got").alias("got"), F.get(F.expr(spare), F.lit(0))["key"].alias("more"))
-        .select("src_no", "block", F.when(F.col("more").isNull(), F.col("got")).otherwise(F.array_append("got", F.col("more"))).alias("chosen"))
-    )
+    units = in_blocks(narrow).join(cut, ["src_no", "block"]).groupBy("src_no", "block", "room", "key").agg(F.sum("size").alias("size")).withColumn("at", F.xxhash64(F.lit(p.seed), F.col("key"))).withColumn("took", F.lit(False))
+    whole = Window.partitionBy("src_no", "block")
+    running = whole.orderBy("at", "key").rowsBetween(Window.unboundedPreceding, 0)
+    for _ in range(3):
+        open_ = ~F.col("took") & (F.col("size") <= F.col("room"))
+        units = units.withColumn("sum", F.sum(F.when(open_, F.col("size"))).over(running)).withColumn("new", open_ & (F.col("sum") <= F.col("room")))
+        units = units.withColumns({"took": F.col("took") | F.col("new"), "room": F.col("room") - F.coalesce(F.sum(F.when(F.col("new"), F.col("size"))).over(whole), F.lit(0))})
+    off = F.when(~F.col("took") & (F.col("size") > 0), F.struct(F.abs(F.col("room") - F.col("size")).alias("off"), "at", "key"))
+    units = units.withColumn("last", F.min(off).over(whole))
+    chosen = units.where(F.col("took") | (F.col("last.key") == F.col("key")) & (F.col("last.off") < F.col("room"))).select("src_no", "block", "key", F.lit(True).alias("chosen"))
+    chosen = bounded(materialize(chosen, "mix-chosen"), 1_000_000)
 
     draws = blocks.select("src_no", "block", "rank", "held", "passes", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("epoch"), "part").where("epoch < passes or part > 0")
     draws = draws.select("src_no", "block", "epoch", (F.col("epoch") * F.col("held") + F.col("rank")).alias("draw"))
@@ -135,10 +138,10 @@ def _plan(docs: DataFrame, p: MixParams) -> DataFrame:
     upto = F.sum("quota").over(Window.partitionBy("at").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     runs = quotas.withColumnRenamed("src_no", "at").withColumn("upto", upto).where("quota > 0").select("at", "shard", F.explode(F.sequence(F.col("upto") - F.col("quota"), F.col("upto") - 1)).alias("draw"))
     placed = draws.join(numbered, "src_no").join(runs, ["at", "draw"]).groupBy("src_no", "block").agg(F.collect_list(F.struct("epoch", "shard")).alias("places"))
-    plan = bounded(materialize(blocks.select("src_no", "block", "part").join(placed, ["src_no", "block"], "left").join(chosen, ["src_no", "block"], "left"), "mix-plan"), 4 * MAX_BLOCKS)
+    plan = bounded(materialize(blocks.select("src_no", "block", "part").join(placed, ["src_no", "block"], "left"), "mix-plan"), 8 * MAX_BLOCKS, F.size("places"))
 
-    more = F.when(F.col("part") == 2, 1).when((F.col("part") == 1) & F.coalesce(F.array_contains("chosen", F.col("key")), F.lit(False)), 1).otherwise(0)
-    rows = in_blocks(named).join(plan, ["src_no", "block"], "left").withColumn("copies", F.col("passes") + more)
+    more = F.when((F.col("part") == 2) | F.col("chosen"), 1).otherwise(0)
+    rows = in_blocks(named).join(plan, ["src_no", "block"], "left").join(chosen, ["src_no", "block", "key"], "left").withColumn("copies", F.col("passes") + more)
     shards = F.transform(F.array_sort(F.filter(F.coalesce("places", F.array()), lambda x: x["epoch"] < F.col("copies"))), lambda x: x["shard"])
     return rows.select("doc", "key", "size", "source_size", "target", "copies", shards.alias("shards"))
 

@@ -105,12 +105,21 @@ def audited(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """Per row of pages: page_id, archive, at, length, sha and status (ok, changed or missing) of its record in a replica.
 
     replica: (page_id, sha) of the records as the other side holds them, by the places of this side's catalog. Rows of
-    pages equal in all columns are records of their own, after one another; the replica's rows for their page_id must agree.
+    pages equal in all columns are records of their own, after one another. Rows that share a page_id, null or not, are told
+    apart by their hashes: a record that the replica holds as it is is ok, whatever happened to others of its page_id; those
+    left over are changed as far as the replica has other records of that page_id, and else missing.
     Null columns: see record(). An empty table gives no rows. Extra columns are ignored.
     """
     held = materialize(catalog(pages), "warc-catalog")
-    theirs = replica.groupBy("page_id").agg(F.max("sha").alias("their"))
-    second = held.join(theirs, held["page_id"].eqNullSafe(theirs["page_id"])).select("archive", "at", "length", F.col("their").alias("sha"))
+    theirs = replica.select(F.col("page_id").alias("their_id"), F.col("sha").alias("their")).distinct()
+    same = F.col("page_id").eqNullSafe(F.col("their_id"))
+    place = ["archive", "at", "length"]
+    ok = held.join(theirs, same & (F.col("sha") == F.col("their")), "left_semi").select(*place, "sha")
+    # What neither side finds on the other: few, numbered within a page_id.
+    nth = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    lost = held.join(theirs, same & (F.col("sha") == F.col("their")), "left_anti").withColumn("n", nth("page_id", "sha", "archive", "at"))
+    other = theirs.join(held.select("page_id", "sha").distinct(), same & (F.col("sha") == F.col("their")), "left_anti").withColumn("m", nth("their_id", "their"))
+    second = ok.union(lost.join(other, same & (F.col("n") == F.col("m"))).select(*place, "their"))
     bad = audit(held.select("archive", "at", "length", "sha"), second)
     return held.join(bad, ["archive", "at"], "left").select("page_id", "archive", "at", "length", "sha", F.coalesce("status", F.lit("ok")).alias("status"))
 

@@ -71,6 +71,17 @@ def test_mix_comes_near_its_targets(spark):
     assert len({s for r in made for s in r["shards"]}) >= 8
 
 
+def test_many_sources_come_near_their_targets(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, "w " * int(rng.choice([1, 2, 5, 40, 300])), f"host{i % 200}" if i % 3 else "hot") for i in range(4000)]
+    by = {}
+    for r in mixing.mix_plan(docs(spark, rows), mixing.MixParams(block_words=2000, shard_words=50_000)).join(docs(spark, rows).select("doc_id", "source"), "doc_id").collect():
+        taken, target, _ = by.get(r["source"], (0, 0, 0))
+        by[r["source"]] = taken + r["taken"], r["target"], r["source_size"]
+    off = [abs(taken - target) for taken, target, _ in by.values()]
+    assert len(by) == 201 and max(off) <= 150 and np.mean(off) < 50  # no document has over 300 words
+
+
 def test_split_keeps_every_quota(spark):
     quotas = spark.createDataFrame([(0, 37), (1, 0), (2, 200), (3, 1)], "src_no int, quota long")
     rows = mixing.split_quotas(quotas, 3, 42).collect()
@@ -400,6 +411,28 @@ def test_warc(spark):
     assert warc.audited(empty, warc.damaged(empty)).count() == 0
 
 
+def test_records_that_share_a_page_id(spark):
+    rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>b</p>"), (1, "u", "<p>c</p>"), (None, "u", "<p>d</p>"), (None, "v", "<p>e</p>"), (2, "u", "<p>f</p>"), (2, "u", "<p>f</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = pages.select("page_id", "html", F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")).cast("binary"), 256).alias("sha"))
+    status = lambda replica: sorted((r["html"], r["status"]) for r in warc.audited(pages, replica.select("page_id", "sha")).join(whole.select("sha", "html").distinct(), "sha").collect())
+    ok = [(h, "ok") for _, _, h in rows]
+    assert status(whole) == sorted(ok)
+    assert status(whole.where("html <> '<p>b</p>'")) == sorted([x for x in ok if "b" not in x[0]] + [("<p>b</p>", "missing")])
+    changed = whole.withColumn("sha", F.when(F.col("html").isin("<p>b</p>", "<p>d</p>"), F.lit("0" * 64)).otherwise(F.col("sha")))
+    assert status(changed) == sorted([x for x in ok if x[0] not in ("<p>b</p>", "<p>d</p>")] + [("<p>b</p>", "changed"), ("<p>d</p>", "changed")])
+
+
+def test_audit_of_two_catalogs_finds_what_either_lacks(spark):
+    at = [(f"{i % 3:x}", 100 * i, 90, f"{i:064x}") for i in range(300)]
+    first = spark.createDataFrame(at, "archive string, at long, length long, sha string")
+    other = [r for r in at if r[1] != 4200] + [("1", 50, 40, "f" * 64)]
+    other = [(a, b, c, "e" * 64 if b == 900 else s) for a, b, c, s in other]
+    second = spark.createDataFrame(other, "archive string, at long, length long, sha string")
+    assert sorted(map(tuple, warc.audit(first, second).collect())) == [("0", 900, "changed"), ("0", 4200, "missing"), ("1", 50, "extra")]
+    assert warc.audit(first, first).count() == 0
+
+
 def test_warc_files(spark, tmp_path):
     import gzip
 
