@@ -3,7 +3,8 @@
 A text is cut at its line feeds. A rolling hash over the last WINDOW line hashes ends a chunk where it
 falls in one of DIVISOR classes, so boundaries depend on the lines near them only and a passage is cut
 alike wherever it stands. A line of at least LONG_WORDS words is a chunk of its own. These and the chunks of
-several lines are compared over the whole corpus: first by hash, then byte by byte, as the texts themselves are grouping keys.
+several lines are compared over the whole corpus: first by hash, then byte by byte, as the texts themselves are grouping keys; texts
+that share a hash are told apart.
 Of equal chunks the first (least doc_id, of documents that share it the one whose text hashes least, then first in its text) stays; the others go.
 
 A passage's first and last lines mostly lie in chunks that it shares with what stands around it. So pairs of neighbouring
@@ -30,12 +31,18 @@ class LineParams:
     window: int = 2  # lines that a boundary depends on
     divisor: int = 3  # one line in so many ends a chunk
     long_words: int = 50  # a single line of so many words counts as a passage
+    long_lines: bool = True  # whether such a line is a chunk of its own; else only chunks and runs of several lines go
     seed: int = 42
+    hash_bits: int = 63  # of a piece's hash; fewer only to see how texts that share one are told apart
 
 
 def _long(line: Column, p: LineParams) -> Column:
     """True for a line of at least long_words words; short ones are told by their length alone."""
-    return (F.length(line) >= 2 * p.long_words - 1) & (F.regexp_count(line, F.lit(WORD)) >= p.long_words)
+    return (F.length(line) >= 2 * p.long_words - 1) & (F.regexp_count(line, F.lit(WORD)) >= p.long_words) if p.long_lines else F.lit(False)
+
+
+def _hash(p: LineParams, pair: bool, text: Column) -> Column:
+    return F.xxhash64(F.lit(p.seed + pair), text).bitwiseAND(F.lit((1 << p.hash_bits) - 1))
 
 
 def _cut(text: Column, p: LineParams) -> Column:
@@ -69,7 +76,7 @@ def _pieces(docs: DataFrame, p: LineParams) -> DataFrame:
     """(id, key, c): of each document its chunks that may go and all pairs of neighbouring lines, with first line, lines, hash and text."""
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("text").alias("t"))
     may = lambda c: F.when(c["lines"] > 1, F.length(c["text"]) >= c["lines"]).otherwise(_long(c["text"], p))
-    piece = lambda pair, first, lines, text: F.struct(F.lit(pair).alias("pair"), first.cast("int").alias("first"), lines.cast("int").alias("lines"), F.xxhash64(F.lit(p.seed + pair), text).alias("hash"), text.alias("text"))
+    piece = lambda pair, first, lines, text: F.struct(F.lit(pair).alias("pair"), first.cast("int").alias("first"), lines.cast("int").alias("lines"), _hash(p, pair, text).alias("hash"), text.alias("text"))
     chunks = F.transform(F.filter(_cut(F.coalesce("t", F.lit("")), p), may), lambda c: piece(False, c["first"], c["lines"], c["text"]))
 
     def pairs(lines: Column) -> Column:
@@ -100,13 +107,20 @@ def repeats(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
     places = materialize(rows.select("id", "key", "c.pair", "c.first", "c.lines", "c.hash"), "lines-places")
     twice = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     twice = bounded(materialize(twice, "lines-hashes"), 2_000_000)
-    # Byte comparison: the text itself is the key. A hash that stands for two texts is not used.
-    same = rows.select("c.hash", "c.pair", "c.text").join(twice, "hash", "left_semi").groupBy("hash", "pair", "text").agg(F.count(F.lit(1)).alias("n"))
+    # Byte comparison: the text itself is the key.
     words = lambda line: F.when(F.col("pair"), F.regexp_count(line, F.lit(WORD))).otherwise(0)
-    same = same.select("hash", "n", words(F.substring_index("text", "\n", 1)).alias("head"), words(F.substring_index("text", "\n", -1)).alias("tail"))
-    kept = same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), *[F.max(c).alias(c) for c in ("n", "head", "tail")]).where("texts = 1 and n > 1").select("hash", "head", "tail")
-    kept = bounded(materialize(kept, "lines-kept"), 1_000_000)
-    again = places.join(kept, "hash")
+    ends = [words(F.substring_index("text", "\n", 1)).alias("head"), words(F.substring_index("text", "\n", -1)).alias("tail")]
+    same = rows.select("c.hash", "c.pair", "c.text").join(twice, "hash", "left_semi").groupBy("hash", "pair", "text").agg(F.count(F.lit(1)).alias("n")).select("hash", "n", *ends)
+    kept = materialize(same.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), *[F.max(c).alias(c) for c in ("n", "head", "tail")]).where("n > 1"), "lines-kept")
+    again = places.join(bounded(kept.where("texts = 1").select("hash", "head", "tail"), 1_000_000), "hash")
+    shared = kept.where("texts > 1").select("hash")
+    if shared.limit(1).count():
+        # Hashes that several texts share, few at any size: their pieces are read again, with a digest of the text in the hash's place.
+        apart = rows.select("id", "key", "c.*").join(bounded(shared, 1_000_000), "hash", "left_semi")
+        apart = apart.select("id", "key", "pair", "first", "lines", F.sha2(F.concat(F.col("pair").cast("string"), F.col("text")).cast("binary"), 256).alias("sha"), *ends)
+        apart = materialize(apart, "lines-apart")
+        most = apart.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", (-1 - F.monotonically_increasing_id()).alias("hash"))
+        again = again.unionByName(apart.join(bounded(materialize(most, "lines-told"), 1_000_000), "sha").select("id", "key", "pair", "first", "lines", "hash", "head", "tail"))
     found = materialize(again.where("not pair").groupBy("id", "key", "hash", "lines").agg(F.collect_set("first").alias("firsts")), "lines-found")
     keepers = bounded(materialize(found.groupBy("hash").agg(F.min(F.struct("id", "key")).alias("keeper")), "lines-keepers"), 1_000_000)
     # In the keeper the first of them stays.
@@ -122,7 +136,7 @@ def repeats(docs: DataFrame, p: LineParams = LineParams()) -> DataFrame:
 
 def _removed(docs: DataFrame, p: LineParams) -> DataFrame:
     """(doc, lines, gone, pieces, left): a document, its lines as an array, the numbers of those that go, and the text of the others."""
-    gone = bounded(materialize(repeats(docs, p), "lines-gone"), 200_000)
+    gone = bounded(materialize(repeats(docs, p), "lines-gone"), 1_000_000, F.size("gone"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("text").alias("t"))
     rows = whole.withColumn("key", F.xxhash64("id", "t")).join(gone, ["id", "key"], "left").withColumn("lines", F.split("t", "\n", -1))
     left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n")

@@ -1,6 +1,9 @@
 """Near-dedup and line dedup against brute force."""
 
+import re
+
 import numpy as np
+import pytest
 
 from loomquery.llm import linededup, simhash
 
@@ -123,6 +126,83 @@ def test_null_and_repeated_ids_are_rows_like_any_other(spark):
     assert {(i, t) for i, t in got if t in own[:6]} == {(None, own[0]), (None, own[1]), (None, own[2]), (7, own[3]), (7, own[4]), (1, own[5])}
 
 
+def plain_line_dedup(docs, p):
+    """(lines that stay) of each (doc_id, text), with nothing but loops. doc_ids are given; rows that repeat both are one document."""
+    import xxhash
+
+    as_long = lambda h: h - (1 << 64) if h >> 63 else h
+    text_hash = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+
+    def rolled(hashes, i):
+        h = xxhash.xxh64_intdigest(p.seed.to_bytes(4, "little", signed=True), 42)
+        for k in range(p.window):
+            h = xxhash.xxh64_intdigest((hashes[i - k] if i >= k else 0).to_bytes(8, "little"), h)
+        return as_long(h) % p.divisor
+
+    words = lambda x: len([w for w in re.split(r"[\x20\x09-\x0D]+", x) if w])
+    order, chunks, pairs = {}, {}, {}
+    for doc_id, text in set(docs):
+        key = as_long(xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)))
+        doc = order[doc_id, text] = (doc_id, key)
+        lines = text.split("\n")
+        long = [p.long_lines and words(x) >= p.long_words for x in lines]
+        hashes, first = [text_hash(x) for x in lines], 0
+        for i in range(len(lines)):
+            if i == len(lines) - 1 or long[i] or long[i + 1] or rolled(hashes, i) == 0:
+                chunk = "\n".join(lines[first : i + 1])
+                if long[i] or i > first and len(chunk) >= i - first + 1:
+                    chunks.setdefault(chunk, []).append((doc, first, i - first + 1))
+                first = i + 1
+        for i in range(len(lines) - 1):
+            pairs.setdefault(lines[i] + "\n" + lines[i + 1], []).append((doc, i))
+    gone = {d: set() for d in order.values()}
+    for found in chunks.values():
+        keeper = min(found)[:2]
+        for doc, first, n in found:
+            if len(found) > 1 and (doc, first) != keeper:
+                gone[doc] |= set(range(first, first + n))
+    later, stay, at = {d: set() for d in order.values()}, {d: set() for d in order.values()}, {}
+    for found in pairs.values():
+        if len(found) > 1:
+            doc, i = min(found)
+            stay[doc] |= {i, i + 1}
+            for doc, i in sorted(found)[1:]:
+                later[doc].add(i)
+    out = {}
+    for (doc_id, text), doc in order.items():
+        lines = text.split("\n")
+        run = []
+        for i in [*sorted(later[doc]), None]:
+            if run and (i is None or i != run[-1] + 1):
+                if sum(words(lines[x]) for x in range(run[0], run[-1] + 2)) >= p.long_words:
+                    gone[doc] |= set(range(run[0], run[-1] + 2)) - stay[doc]
+                run = []
+            if i is not None:
+                run.append(i)
+        out[doc_id, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone[doc])
+    return out
+
+
+@pytest.mark.parametrize("p", [linededup.LineParams(), linededup.LineParams(hash_bits=6), linededup.LineParams(window=1, divisor=2, long_words=20), linededup.LineParams(window=3, long_lines=False)])
+def test_line_dedup_equals_brute_force(spark, p):
+    rng = np.random.default_rng(31)
+    line = lambda: " ".join(f"v{x}" for x in rng.integers(0, 10**6, int(rng.choice([0, 1, 5, 12, 30, 60]))))
+    pool = [line() for _ in range(60)]
+    passages = [[line() for _ in range(int(rng.integers(1, 9)))] for _ in range(15)]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(int(rng.integers(0, 6))):
+            kind = rng.random()
+            lines += passages[int(rng.integers(15))] if kind < 0.4 else [pool[int(rng.integers(60))]] if kind < 0.6 else [line()]
+        rows.append((int(rng.integers(0, 140)), "\n".join(lines)))
+    rows += [(500, rows[3][1]), (500, rows[3][1]), (501, "\n\n\n"), (502, "")]
+    want = plain_line_dedup(rows, p)
+    got = linededup.line_dedup(spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id long, text string, was string"), p).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["was"]): r["text"] for r in got} == want
+    assert sum(want[x] != x[1] for x in want) > 30
+
+
 def test_lines_repeated_among_documents_without_an_id_of_their_own(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     for i in (None, 5):
