@@ -24,7 +24,7 @@ BLOCK = 2048
 GROUP = 1024
 HEAD = 4095
 RENEW = 128
-SLOTS = 12  # bits of the order-1 and order-2 tables
+SLOTS = 11  # bits of the order-1 and order-2 tables
 FULL = 24  # bits of the coder's distribution
 ZERO = 18  # bits of the order-0 distribution
 PRIOR = 300  # ids that the group's counts weigh in a block's order 0
@@ -261,8 +261,9 @@ def _decode_group(data: memoryview, block: int, first: int) -> tuple[np.ndarray,
     return ids, end
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """ids: unsigned 32-bit numbers. Their coded blocks, in groups of up to GROUP."""
+def encode(ids: np.ndarray, block: int | None = None) -> bytes:
+    """ids: unsigned 32-bit numbers. Their coded blocks, in groups of up to GROUP. Fewer ids than a group of full blocks holds are dealt to shorter ones, as a group takes its time by its longest block."""
+    block = block or min(BLOCK, max(BLOCK // 4, -(-len(ids) // GROUP)))
     parts = [_encode_group(ids[at : at + block * GROUP], block) for at in range(0, len(ids), block * GROUP)]
     return MAGIC + struct.pack("<IQ", block, len(ids)) + b"".join(parts)
 

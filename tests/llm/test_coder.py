@@ -33,6 +33,7 @@ def test_ids_with_and_without_a_symbol_come_back(spread):
     a[30_000:31_000] = np.tile(rng.integers(0, spread, 10), 100)
     assert (decode(encode(a, 700)) == a).all()
     assert (decode(encode(a, 40)) == a).all()  # more than one group
+    assert (decode(encode(a)) == a).all()
 
 
 def test_ids_of_texts_take_less_than_a_general_compressor_needs():
