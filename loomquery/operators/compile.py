@@ -232,15 +232,15 @@ def _having(frame: DataFrame, plan: Plan) -> DataFrame:
     return frame
 
 
-def _ordered(frame: DataFrame, c: Column | None, descending: bool, plan: Plan, nulls_first: bool = False, cap: bool = True) -> DataFrame:
-    """Sort, limit or rank with ties, or the row cap. c: a column of frame; it may be a hidden one."""
+def _ordered(frame: DataFrame, c: Column | None, descending: bool, plan: Plan, nulls_first: bool = False, cap: bool = True, then: tuple[Column, ...] = ()) -> DataFrame:
+    """Sort, limit or rank with ties, or the row cap. c: a column of frame; it may be a hidden one. then: what settles ties before a limit."""
     if plan.limit is not None and plan.limit <= 0:
         raise PlanError("the limit must be over 0")
     key = None if c is None else (c.desc_nulls_first() if nulls_first else c.desc_nulls_last()) if descending else c.asc_nulls_last()
     if plan.include_ties and plan.limit and key is not None:
         return _with_ties(frame, c, descending, nulls_first, key, plan.limit)
     if key is not None:
-        frame = frame.orderBy(key)
+        frame = frame.orderBy(key, *(then if plan.limit else ()))
     if plan.limit:
         return frame.limit(plan.limit)
     return frame.limit(ROW_CAP) if cap else frame
@@ -296,9 +296,11 @@ def lookup(s: Scope) -> DataFrame:
             frame = frame.select(*made).distinct()
         shown = None if sort is None else next((F.col(f"`{t}`") for t in targets if s.ref(t) == sort), F.col(f"`{sort.column}`"))
         return _ordered(frame, shown, descending, p, cap=s.capped)
-    frame = frame.select(*made, *([col(sort).alias("__sort")] if sort is not None else []))
-    out = _ordered(frame, F.col("__sort") if sort is not None else None, descending, p, cap=s.capped)
-    return out.drop("__sort")
+    # Among equal sort keys the first table's grain decides, so that a top-k is the same rows each time.
+    grain = [col(Ref(s.tables[0], c)).alias(f"__grain{i}") for i, c in enumerate(s.catalog.grain(s.tables[0]))] if sort is not None and p.limit and not p.include_ties else []
+    frame = frame.select(*made, *([col(sort).alias("__sort")] if sort is not None else []), *grain)
+    out = _ordered(frame, F.col("__sort") if sort is not None else None, descending, p, cap=s.capped, then=tuple(F.col(f"__grain{i}") for i in range(len(grain))))
+    return out.drop("__sort", *[f"__grain{i}" for i in range(len(grain))])
 
 
 def count(s: Scope) -> DataFrame:
@@ -328,7 +330,7 @@ def _sorted_groups(s: Scope, frame: DataFrame) -> DataFrame:
             by = F.col(f"`{same[0]}`")
         elif not s.joined:
             raise PlanError(f"groups cannot be sorted by {name!r}")
-    return _ordered(frame, by, (p.sort_direction or "asc").lower() == "desc", p, nulls_first=not s.joined, cap=s.joined and s.capped)
+    return _ordered(frame, by, (p.sort_direction or "asc").lower() == "desc", p, nulls_first=not s.joined, cap=s.joined and s.capped, then=tuple(F.col(f"`{g}`") for g in p.group_by))
 
 
 def _resolves(s: Scope, name: str) -> bool:

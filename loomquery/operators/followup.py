@@ -70,8 +70,12 @@ def follow_up(df: DataFrame, plan: Plan) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """What a conversation may keep: 100 rows, or 1000 distinct values of a single column."""
-    return df.limit(100) if len(df.columns) > 1 else df.where(F.col(f"`{df.columns[0]}`").isNotNull()).dropDuplicates().limit(1000)
+    """What a conversation may keep: the first 100 rows, or the first 1000 distinct values of a single column, in the result's order."""
+    if len(df.columns) > 1:
+        return df.limit(100)
+    name = df.columns[0]
+    placed = df.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").alias("v"), F.monotonically_increasing_id().alias("at"))
+    return placed.groupBy("v").agg(F.min("at").alias("at")).orderBy("at").limit(1000).select(F.col("v").alias(name))
 
 
 def _earlier(spark: SparkSession, sf_dir: str) -> DataFrame:

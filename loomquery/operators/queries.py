@@ -103,6 +103,13 @@ case("q_join_anti_other_column", Plan("count", joins=(left(DL),), filters=f("qua
 case("q_join_semi", look("c_custkey", distinct=True, joins=(CO,), filters=f("o_totalprice", "greater_than", 300000)), None, "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 case("q_join_semi_count", Plan("count", joins=(CO,), filters=f("o_totalprice", "greater_than", 300000)), None, f"SELECT count(*) AS {V} FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 case("q_join_left_count", Plan("count", joins=(left(CO),), filters=f("c_custkey", "less_than", 200)), None, f"SELECT count(o_orderkey) AS {V} FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey < 200")
+# A left join's nulls.
+case("q_filter_null_in_join", look("documents.doc_id", "lang", "quality", joins=(left(DL),), filters=f("quality", "is_null")), None, 'SELECT d.doc_id AS "documents.doc_id", lang, quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL')
+case("q_filter_not_null_in_join", look("documents.doc_id", "quality", joins=(left(DL),), filters=f("quality", "is_not_null")), None, 'SELECT d.doc_id AS "documents.doc_id", quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NOT NULL')
+case("q_filter_null_word", look("documents.doc_id", joins=(left(DL),), filters=f("toxic", "equals", None)), None, 'SELECT d.doc_id AS "documents.doc_id" FROM documents d LEFT JOIN labels l USING (doc_id) WHERE toxic IS NULL')
+case("q_sort_leaves_nulls_out", look("documents.doc_id", "quality", intent="ranking", joins=(left(DL),), sort_column="quality", sort_direction="asc", limit=5000), None, 'SELECT d.doc_id AS "documents.doc_id", quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NOT NULL ORDER BY quality, d.doc_id LIMIT 5000')
+case("q_group_sorted_nulls_last", agg("count", "documents.doc_id", joins=(left(DL),), group_by=("quality",), sort_column="quality", sort_direction="asc", limit=3), None, f"SELECT quality, count(*) AS {V} FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY quality ORDER BY quality NULLS LAST LIMIT 3")
+case("q_join_having_without_groups", agg("count", "o_orderkey", joins=(OC,), having_filters=f("count", "greater_than", 10)), None, f"SELECT count(o_orderkey) AS {V} FROM orders JOIN customer ON o_custkey = c_custkey HAVING count(*) > 10")
 PARENT = "FROM (SELECT DISTINCT o_orderkey, o_totalprice AS m FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 25)"
 for name, sql in (("sum", "sum(m)"), ("average", "avg(m)"), ("min", "min(m)"), ("max", "max(m)"), ("median", "quantile_cont(m, 0.5)"), ("count", "count(m)")):
     case(f"q_fanout_parent_{name}", agg(name, "o_totalprice", joins=(OL,), filters=f("l_quantity", "greater_than", 25)), None, f"SELECT {sql if name == 'count' else f'round({sql}, 4)'} AS {V} {PARENT}", 4)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import asdict, dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from loomquery.plans.cache import JsonCache
 from loomquery.sources.catalog import Catalog
 from loomquery.sources.tpch import catalog
 
-#: Fixed values of the scores.
+#: Fixed values of the scores, with those in score().
 ID_SUFFIXES = ("_id", "_key", "_code", "_number", "_no")
 ID_NAMES = {"id", "key", "code", "identifier"}
 LEAST_SCORE, HOP, NEEDED, UNNEEDED, CONTAINER, TIE = 0.45, 0.75, (0.20, 0.40), 0.15, 0.15, 0.08
@@ -119,18 +120,40 @@ def judge(edge: Edge, counts: dict[str, int]) -> Edge:
     return Edge(edge.left_table, edge.left_column, edge.right_table, edge.right_column, sure, status)
 
 
+def overlaps(cat: Catalog, edges: list[Edge]) -> list[dict[str, int]]:
+    """What overlap counts, for many candidates in one job: each table is read once, its values go out by candidate, and are counted by candidate and value, then by candidate."""
+    sides: dict[str, list[Column]] = defaultdict(list)
+    for i, e in enumerate(edges):
+        kinds = [cat.table(t).df.schema[c].dataType for t, c in ((e.left_table, e.left_column), (e.right_table, e.right_column))]
+        wide = "decimal(38,0)" if family(kinds[0]) == "numeric" and kinds[0] != kinds[1] else None
+        for table, column, left in ((e.left_table, e.left_column, 1), (e.right_table, e.right_column, 0)):
+            v = F.col(f"`{column}`")
+            sides[table].append(F.struct(F.lit(i).alias("edge"), (v.cast(wide) if wide else v).cast("string").alias("v"), F.lit(left).cast("long").alias("a"), F.lit(1 - left).cast("long").alias("b")))
+    rows = reduce(DataFrame.unionByName, [cat.table(t).df.select(F.explode(F.array(*s)).alias("x")).select("x.*") for t, s in sides.items()])
+    values = rows.groupBy("edge", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    here, left, right = F.col("v").isNotNull(), F.col("a") > 0, F.col("b") > 0
+    made = values.groupBy("edge").agg(
+        F.sum("a").alias("left_rows"), F.sum("b").alias("right_rows"), F.count_if(here & left).alias("left_distinct"), F.count_if(here & right).alias("right_distinct"), F.count_if(here & left & right).alias("matching")
+    )
+    found = {r["edge"]: r.asDict() for r in made.collect()}  # a row a candidate
+    none = dict.fromkeys(("left_rows", "right_rows", "left_distinct", "right_distinct", "matching"), 0)
+    return [found.get(i, none) for i in range(len(edges))]
+
+
+def _confirmed(cat: Catalog, edges: list[Edge]) -> list[Edge]:
+    cat.validated |= {(e.left_table, e.left_column, e.right_table, e.right_column): e.confidence for e in edges if e.status == "validated"}
+    return edges
+
+
 def discover(cat: Catalog, cache: JsonCache | None = None) -> list[Edge]:
     """Candidates checked against the data. Errors are raised, not remembered; a cache keeps the verdicts under the catalog's fingerprint."""
     shape = cat.fingerprint()
     if cache is not None and (held := cache.read().get(shape)) is not None:
         out = [Edge(**e) for e in held]
-        cat.validated |= {(e.left_table, e.left_column, e.right_table, e.right_column) for e in out if e.status == "validated"}
-        return out
-    out = []
-    for e in candidates(cat):
-        counts = overlap(cat.table(e.left_table).df, e.left_column, cat.table(e.right_table).df, e.right_column).first().asDict()
-        out.append(judge(e, counts))
-    cat.validated |= {(e.left_table, e.left_column, e.right_table, e.right_column) for e in out if e.status == "validated"}
+        return _confirmed(cat, out)
+    edges = candidates(cat)
+    counts = overlaps(cat, edges) if edges else []
+    out = _confirmed(cat, [judge(e, c) for e, c in zip(edges, counts)])
     if cache is not None:
         cache.put(shape, [asdict(e) for e in out])
     return out
@@ -155,6 +178,14 @@ class Graph:
         """Tables that connect two which no edge does."""
         return sorted({p[0].right_table for p in self.paths(start, end, 2) if len(p) == 2})
 
+    @classmethod
+    def known(cls, cat: Catalog) -> Graph:
+        """Declared edges and those that data has confirmed."""
+        declared = cls.declared(cat)
+        pairs = {frozenset(((e.left_table, e.left_column), (e.right_table, e.right_column))) for held in declared.near.values() for e in held}
+        more = [Edge(a, b, c, d, sure, "validated") for (a, b, c, d), sure in sorted(cat.validated.items()) if frozenset(((a, b), (c, d))) not in pairs]
+        return cls([e for held in declared.near.values() for e in held if e.left_table < e.right_table] + more)
+
     @classmethod
     def declared(cls, cat: Catalog) -> Graph:
         return cls([Edge(f.table, f.columns[0], f.parent, f.parent_columns[0], 1.0, "declared") for f in cat.foreign_keys if len(f.columns) == 1])

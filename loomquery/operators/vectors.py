@@ -15,7 +15,7 @@ from loomquery.functions.types import family
 DIMENSION, SEED = 384, 42
 TOKEN_WEIGHT, GRAM_WEIGHT, PAIR_WEIGHT = 2.0, 0.5, 3.0
 LEAST_SIMILARITY = 0.05
-#: Endings cut from words, each from words longer than its number, and what takes their place.
+#: Fixed values, as the hashes of embeddings depend on them. Endings cut from words, each from words longer than its number, and what takes their place.
 ENDINGS = (("ing", 4, ""), ("ed", 3, ""), ("tion", 5, ""), ("ies", 3, "y"))
 
 
@@ -119,13 +119,22 @@ class VectorStore:
         """Writes the catalog's descriptions; those of its older fingerprints go."""
         rows = [(o, d, embed(d)) for t in catalog.items.values() for o, d in describe(catalog, t.name)]
         frame = self.spark.createDataFrame(rows, "object string, description string, embedding array<double>")
-        self.purge(database)
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/database={database}/fingerprint={catalog.fingerprint()}")
+        now = catalog.fingerprint()
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/database={database}/fingerprint={now}")
+        for other in self.fingerprints(database):
+            if other != now:
+                self.purge(database, other)
 
     def search(self, database: str, catalog, text: str, k: int = 5) -> DataFrame:
         frame = self.spark.read.parquet(f"{self.path}/database={database}/fingerprint={catalog.fingerprint()}")
         return cosine_top_k(frame, "embedding", embed(text), k, "object").select("object", "similarity")
 
+    def fingerprints(self, database: str) -> list[str]:
+        """The fingerprints whose vectors are stored."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/database={database}")
+        files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName().partition("=")[2] for f in files.listStatus(where)] if files.exists(where) else []
+
     def purge(self, database: str, fingerprint: str | None = None) -> bool:
         """Deletes a database's vectors, or those of one fingerprint; true if there were any. Through Spark's file system, wherever the folder is."""
         jvm = self.spark._jvm

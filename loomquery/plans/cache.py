@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -40,11 +43,21 @@ class JsonCache:
             os.fsync(out.fileno())
         os.replace(out.name, self.path)
 
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """One writer at a time, threads and processes alike, so that no entry is lost between read and write."""
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        with open(f"{self.path}.lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            yield
+
     def put(self, key: str, value: Any) -> None:
-        self.write(self.read() | {key: value})
+        with self._alone():
+            self.write(self.read() | {key: value})
 
     def drop(self, key: str) -> None:
-        self.write({k: v for k, v in self.read().items() if k != key})
+        with self._alone():
+            self.write({k: v for k, v in self.read().items() if k != key})
 
 
 class PlanCache(JsonCache):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from loomquery.errors import ContractError, PlanError
 from loomquery.functions.types import family
+from loomquery.operators.relations import Graph
 from loomquery.sources.catalog import Catalog
 
 from .ir import AGGREGATIONS, COMPARISONS, GRANULARITIES, INTENTS, OPERATORS, Plan, Ref
@@ -65,7 +66,7 @@ def validate(plan: Plan, catalog: Catalog, table: str | None = None, strict: boo
             r.errors.append("HAVING needs an aggregation")
         if plan.aggregation == "median":
             r.errors.append("HAVING on a median is not supported")
-        if not plan.group_by:
+        if not plan.group_by and not plan.joins:
             r.errors.append("HAVING needs groups")
         if f.operator not in COMPARISONS or f.value in (None, "") or isinstance(f.value, (list, tuple, dict)):
             r.errors.append(f"HAVING takes a comparison with one value, not {f.operator} {f.value!r}")
@@ -129,17 +130,27 @@ def _joins(plan: Plan, catalog: Catalog, r: Report) -> None:
             r.errors.append(f"{a} = {b} is not connected to the tables before it")
         seen.add(frozenset((a, b)))
         done |= {a.table, b.table}
+    graph = Graph.known(catalog)
+    for a, b in sorted({tuple(sorted((j.left_table, j.right_table))) for j in plan.joins}):
+        if graph.ambiguous(a, b):
+            r.warnings.append(f"{a} and {b} are connected in several ways")
     if len(plan.joins) > 1 and plan.aggregation:
         r.warnings.append("an aggregate over several joins: rows are told apart by the measure's table")
 
 
-def to_contract(plan: Plan, df: DataFrame) -> Any:
-    """The result in Python: a scalar, a list of names, or a list of rows as dicts. Any result over joins is rows. ContractError if the shape is wrong."""
+#: Rows that a result may bring to the driver; larger ones stay a DataFrame.
+RESULT_ROWS = 100_000
+
+
+def to_contract(plan: Plan, df: DataFrame, most: int = RESULT_ROWS) -> Any:
+    """The result in Python: a scalar, a list of names, or a list of rows as dicts. Any result over joins is rows. ContractError if the shape is wrong or there are more rows than most."""
     if len(set(df.columns)) != len(df.columns):
         raise ContractError(f"columns repeat: {df.columns}")
     scalar = not plan.joins and not plan.group_by and plan.intent in ("row_count", "column_count", "count", "percentage", "aggregation", "existence") or plan.intent == "derived_aggregation"
     if not scalar:
-        rows = [r.asDict() for r in df.collect()]
+        rows = [r.asDict() for r in df.limit(most + 1).collect()]
+        if len(rows) > most:
+            raise ContractError(f"the result has more than {most} rows: take its frame instead")
         return [r["column_name"] for r in rows] if plan.intent == "column_names" and not plan.joins else rows
     rows = df.take(2)
     if len(rows) != 1 or len(df.columns) != 1:

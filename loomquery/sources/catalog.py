@@ -8,6 +8,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ class Table:
 class Catalog:
     items: dict[str, Table]
     foreign_keys: tuple[ForeignKey, ...] = ()
-    validated: set[tuple[str, str, str, str]] = field(default_factory=set)  # edges that data has confirmed
+    validated: dict[tuple[str, str, str, str], float] = field(default_factory=dict)  # edges that data has confirmed, and how surely
 
     @classmethod
     def of(cls, frames: dict[str, DataFrame], primary_keys: dict[str, tuple[str, ...]] | None = None, foreign_keys: tuple[ForeignKey, ...] = (), unique: dict[str, tuple[tuple[str, ...], ...]] | None = None) -> Catalog:
@@ -53,9 +54,25 @@ class Catalog:
         return cls.of({t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables}, **keys)
 
     @classmethod
-    def jdbc(cls, spark: SparkSession, url: str, tables: list[str], options: dict[str, str] | None = None, **keys) -> Catalog:
-        """Tables of a relational database through Spark's connector, which pushes filters and columns down."""
-        return cls.of({t: spark.read.format("jdbc").options(url=url, dbtable=t, **(options or {})).load() for t in tables}, **keys)
+    def jdbc(cls, spark: SparkSession, url: str, tables: list[str], options: dict[str, str] | None = None, split: dict[str, tuple[str, int, int, int]] | None = None, **keys) -> Catalog:
+        """Tables of a relational database through Spark's connector, which pushes filters and columns down.
+
+        split: for large tables, the column, its least and greatest value and the number of ranges that tasks read side by side.
+        """
+        ranges = {t: dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, s))) for t, s in (split or {}).items()}
+        return cls.of({t: spark.read.format("jdbc").options(url=url, dbtable=t, **ranges.get(t, {}), **(options or {})).load() for t in tables}, **keys)
+
+    def probe(self, spark: SparkSession, database: str | None = None) -> dict[str, str | int]:
+        """The session's catalog and database and the number of tables whose first row can be read. PlanError if the database is another than the one expected, or a table cannot be read."""
+        now = spark.catalog.currentDatabase()
+        if database is not None and now.lower() != database.lower():
+            raise PlanError(f"the session is connected to {now!r}, not to {database!r}")
+        for t in self.items.values():
+            try:
+                t.df.limit(1).count()
+            except PySparkException as e:
+                raise PlanError(f"table {t.name} cannot be read: {str(e).splitlines()[0]}") from e
+        return {"catalog": spark.catalog.currentCatalog(), "database": now, "tables": len(self.items)}
 
     def table(self, name: str) -> Table:
         bare = strip(name).split(".")[-1].lower()
@@ -82,17 +99,17 @@ class Catalog:
             raise AmbiguousColumn(f"{text!r} fits {[str(r) for r in found]}")
         return found[0]
 
-    def grain(self, name: str) -> tuple[str, ...]:
-        """The columns that tell rows of a table apart: its key, else what its names suggest, else all of them."""
+    def grain(self, name: str, suffixes: tuple[str, ...] = ("_id", "_sitecore_id", "id")) -> tuple[str, ...]:
+        """The columns that tell rows of a table apart: its key, else what its names suggest (with such suffixes), else all of them."""
         t = self.table(name)
         if t.primary_key:
             return t.primary_key
         low = {c.lower(): c for c in t.df.columns}
         base, single = t.name.lower(), t.name.lower().removesuffix("s")
-        for guess in ("id", *(f"{b}{s}" for s in ("_id", "_sitecore_id", "id") for b in (base, single))):
+        for guess in ("id", *(f"{b}{s}" for s in suffixes for b in (base, single))):
             if guess in low:
                 return (low[guess],)
-        ids = tuple(c for k, c in low.items() if k.endswith(("_id", "_sitecore_id", "_key")))
+        ids = tuple(c for k, c in low.items() if k.endswith((*[s for s in suffixes if s.startswith("_")], "_key")))
         return ids or tuple(t.df.columns)
 
     def is_unique(self, name: str, columns: tuple[str, ...]) -> bool:
