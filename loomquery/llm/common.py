@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +32,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: ContextVar[str] = ContextVar("scratch", default="tables")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A folder that does not exist yet, in the shared one."""
+    return f"{shared_dir(spark)}/llm/{_scratch.get()}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage is cut, and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, new_path(df.sparkSession, tag))
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder through Spark's file system, wherever it is; true if it was there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized within go when it ends. What is to be read later must be written elsewhere by then (new_path taken before)."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(name)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, f"{shared_dir(spark)}/llm/{name}")
 
 
 def bounded(df: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:

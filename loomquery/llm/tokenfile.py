@@ -8,7 +8,6 @@ store it writes to take care of lost executors. A reader needs one segment at a
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import new_path
 from .idcoder import BLOCK, GROUP, decode, encode
 from .tokens import encoder
 
@@ -94,6 +93,6 @@ def read_ids(spark: SparkSession, path: str, body: bool = False) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Per row of docs: doc_id, start, n_tokens, ids_crc32, read back from files written in the shared folder. Nulls and repeated rows: see write_ids."""
-    path = f"{shared_dir(docs.sparkSession)}/llm/ids-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "ids")
     write_ids(docs, path, tokenizer, end_id)
     return read_ids(docs.sparkSession, path)
