@@ -246,9 +246,12 @@ def classes(docs: DataFrame, k: int = 2, shingle: int = 3) -> DataFrame:
     marked = materialize(with_fingerprint(docs.select("doc_id", "text"), "bits", shingle).select("doc_id", "bits"), "simhash")
     distinct = materialize(marked.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     labels = components(materialize(links(distinct.withColumn("item", F.col("bits")), k), "simhash-links"))
-    linked = distinct.join(labels, F.col("bits") == F.col("node"), "left").select("bits", "first_id", F.coalesce("label", "bits").alias("label"))
-    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = bounded(materialize(linked.join(least, "label").select("bits", "component_id"), "simhash-classes"), 1_000_000)
+    # Only fingerprints that have links need their component's least id; a component is counted before it is shuffled, and its id goes back by broadcast as long as there are not too many.
+    linked = materialize(labels.join(distinct, F.col("bits") == F.col("node")).select("node", "label", "first_id"), "simhash-linked")
+    least = bounded(materialize(linked.groupBy("label").agg(F.min("first_id").alias("component_id")), "simhash-least"), 1_000_000)
+    found = linked.join(least, "label").select("node", "component_id")
+    named = distinct.join(found, F.col("bits") == F.col("node"), "left").select("bits", F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = bounded(materialize(named, "simhash-classes"), 1_000_000)
     return marked.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -446,3 +446,21 @@ def test_warc_files(spark, tmp_path):
 
 def test_folders_are_shared(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_graph_recall_of_a_shard_of_full_size():
+    """One shard as op6 builds it: 8,192 random vectors of 64 components, where nothing is easy to find."""
+    rng = np.random.default_rng(40)
+    x = rng.normal(size=(8192, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = x.astype(np.float32)
+    p = graph_ann.GraphParams()
+    edges, entry = graph_ann.build_graph(x, p)
+    q = x[::50]
+    nodes, _, _ = graph_ann.beam_search(x, edges, entry, q, p.beam_search, p.wide)
+    far = q @ x.T
+    far[np.arange(len(q)), np.arange(0, 8192, 50)] = -2
+    want = np.argsort(-far, axis=1)[:, :5]
+    found = [set(n[n >= 0].tolist()) for n in nodes]
+    recall = np.mean([len(set(w.tolist()) & f) / 5 for w, f in zip(want, found)])
+    assert recall >= 0.95, recall

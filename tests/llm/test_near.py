@@ -226,3 +226,43 @@ def test_short_passages_of_short_lines_go(spark):
     long = [i for i, t in rows if want[i] != t or i % 2 == 0]
     assert len(long) > 70 and all(got[i] == want[i] for i in long)
     assert all(x in got[i] for i, t in rows for x in want[i].split("\n") if len(t.split()) and want[i] != t)
+
+
+def plain_fingerprint(text, shingle=3):
+    """Bit by bit, from the definition."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_and_components_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = [(None, "A b C d"), (None, "a B c D"), (10**9, "É a\x85b ÀÉ x y"), (10**9, "other"), (10**9 + 1, "one two"), (10**9 + 2, None), (10**9 + 3, " \x0b ")]
+    docs = docs.union(spark.createDataFrame(extra, DOCS))
+    rows = docs.collect()
+    prints = [plain_fingerprint(r["text"]) for r in rows]
+    ids = {}
+    for r, p in zip(rows, prints):
+        ids.setdefault(p, []).append(r["doc_id"])
+    values = sorted(ids)
+    up = {v: v for v in values}
+
+    def root(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 2:
+                up[root(a)] = root(b)
+    least = {}
+    for v in values:
+        least.setdefault(root(v), []).extend(i for i in ids[v] if i is not None)
+    want = sorted(((r["doc_id"], f"{p:016x}", min(least[root(p)], default=None)) for r, p in zip(rows, prints)), key=str)
+    assert sorted(map(tuple, simhash.classes(docs).collect()), key=str) == want
