@@ -52,12 +52,13 @@ def features(text: str | bytes | None, part: int = _PART) -> np.ndarray:
     """The sorted places of a whole text's n-grams, each once. It is read in parts for bounded memory; what crosses a cut (a trigram, a word, a pair of words, a run) is carried over."""
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
     a, found = np.frombuffer(raw, np.uint8), []
+    once = np.unique if len(a) > part else lambda x: x  # of one part all is made unique together
     begun, long = 0, 0  # hash and length of a word that the last part broke off
     last, run = np.zeros(0, np.uint64), 0  # the last whole word, and how often it has stood in a row
     for at in range(0, len(a), part):
         here, wide = a[at : at + part], a[max(0, at - 2) : at + part].astype(np.uint64)
         if len(wide) >= 3:
-            found.append(np.unique(_place(wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:], 0)))
+            found.append(once(_place(wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:], 0)))
         inside = np.concatenate([[False], ~_SPACE[here], [False]])
         turn = np.flatnonzero(inside[1:] != inside[:-1])
         start, stop = turn[::2], turn[1::2]
@@ -73,9 +74,9 @@ def features(text: str | bytes | None, part: int = _PART) -> np.ndarray:
         begun, h = (int(h[-1]), h[:-1]) if more else (0, h)
         if not len(h):
             continue
-        found.append(np.unique(_place(h, 1)))
+        found.append(once(_place(h, 1)))
         both = np.concatenate([last, h])
-        found.append(np.unique(_place(both[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + both[1:], 2)))
+        found.append(once(_place(both[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + both[1:], 2)))
         # A word that stands RUN times in a row, whichever it is.
         other = np.flatnonzero(np.concatenate([[True], h[:-1] != h[1:], [True]]))
         runs = np.diff(other)
