@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType
@@ -14,15 +14,15 @@ FOREIGN = (("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_n
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "pages", "benchmark", "conversations"]
 
 
-@cache
-def _schema(application: str, path: str) -> StructType:
-    """A table's schema, read from its footers once an application."""
-    return SparkSession.getActiveSession().read.parquet(path).schema
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """A table's schema, read from its footers once a session."""
+    return spark.read.parquet(path).schema
 
 
 def catalog(spark: SparkSession, folder: str, tables: list[str] | None = None) -> Catalog:
     names = tables or TABLES
     keys = tuple(ForeignKey(a, (b,), c, (d,)) for a, b, c, d in FOREIGN if a in names and c in names)
     path = lambda t: f"{folder}/{t}.parquet"
-    frames = {t: spark.read.schema(_schema(spark.sparkContext.applicationId, path(t))).parquet(path(t)) for t in names}
+    frames = {t: spark.read.schema(_schema(spark, path(t))).parquet(path(t)) for t in names}
     return Catalog.of(frames, primary_keys=PRIMARY, foreign_keys=keys)
