@@ -271,6 +271,31 @@ def test_packing(spark, odd, none):
             at += length
 
 
+def test_pieces_are_the_documents_ids(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = word_tokenizer()
+    tok = Tokenizer.from_file(path)
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    ids = {d: np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
+    seen = {}
+    for r in packing.pack(odd, path).collect():
+        whole = ids[r["doc_id"]]
+        part = whole[r["start"] : r["start"] + r["length"]]
+        assert r["doc_tokens"] == len(whole) and len(part) == r["length"] and r["ids_crc32"] == zlib.crc32(part.tobytes())
+        seen.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    copies = {d: sum(1 for r in odd.collect() if r["doc_id"] == d) for d in texts}
+    for d, parts in seen.items():  # each id lies in one piece of each of its rows
+        assert sorted(x for a, n in parts for x in range(a, a + n)) == sorted(list(range(len(ids[d]))) * copies[d])
+
+
+def test_packing_pads_little(spark):
+    rng = np.random.default_rng(12)
+    rows = packing.pack(docs(spark, [(i, "word " * int(rng.integers(1, 3000)), "s") for i in range(1500)]), word_tokenizer()).collect()
+    held = sum(r["length"] for r in rows)
+    assert held / (4096 * len({r["sequence_id"] for r in rows})) > 0.99
+
+
 def test_best_fit_decreasing_equals_a_plain_one():
     rng = np.random.default_rng(4)
     for _ in range(20):
@@ -304,6 +329,8 @@ def test_token_files(spark, odd, none, tmp_path):
         assert (start, n, crc) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += n
     assert [g[1] for g in got] == [1, 1, 2, 3, 4, 5, 6]
+    none_first = sorted((r["start"], r["doc_id"]) for r in tokenfile.round_trip(odd, path).collect())
+    assert none_first[0] == (0, None) and none_first[1][1] == 1
     tokenfile.write_ids(odd, str(tmp_path / "ids"), path)
     assert sorted(len(r["ids"]) for r in tokenfile.read_ids(spark, str(tmp_path / "ids"), body=True).collect()) == [1, 1, 1, 3, 4, 4, 4, 60_001]
 
