@@ -1,5 +1,13 @@
 """What can go wrong, by stage."""
 
+import re
+
+
+def masked(text: str) -> str:
+    """A message without the secrets that connection strings hold."""
+    text = re.sub(r"(?i)\b(password|passwd|pwd|user|token|secret)\s*=\s*[^;&\s,)]+", r"\1=***", text)
+    return re.sub(r"://[^/\s:@]+:[^/\s@]+@", "://***@", text)
+
 
 class EngineError(Exception):
     """Any error of the engine."""

@@ -69,6 +69,13 @@ def follow_up(df: DataFrame, plan: Plan) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(VALUE)) if plan.intent == "count" or plan.aggregation == "count" else df
 
 
+def details(earlier: Plan, asked: Plan) -> Plan:
+    """The rows behind an earlier aggregate: its table, joins and filters stay, what was asked comes on top, and nothing is aggregated. Over joins rows are distinct, as one may be met several times."""
+    targets = asked.target_columns or tuple(dict.fromkeys((*earlier.group_by, *[t for t in earlier.target_columns if t != "*"])))
+    filters = (*earlier.filters, *[f for f in asked.filters if f not in earlier.filters])
+    return Plan("lookup", table=earlier.table, target_columns=targets, filters=filters, joins=earlier.joins, distinct=bool(earlier.joins), sort_column=asked.sort_column, sort_direction=asked.sort_direction, limit=asked.limit)
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """What a conversation may keep: the first 100 rows, or the first 1000 distinct values of a single column, in the result's order."""
     if len(df.columns) > 1:

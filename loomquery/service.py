@@ -11,9 +11,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from loomquery.config import Config
-from loomquery.errors import ExecutionError, PlanError, QueryTimeout
+from loomquery.errors import ExecutionError, PlanError, QueryTimeout, masked
 from loomquery.operators.compile import compile_plan
-from loomquery.operators.followup import eligible, follow_up
+from loomquery.operators.followup import details, eligible, follow_up
 from loomquery.operators.relations import Edge, Graph, discover
 from loomquery.plans import planner, router, select
 from loomquery.plans.cache import JsonCache, PlanCache
@@ -98,7 +98,7 @@ class Engine:
         except PySparkException as e:
             if late.is_set():
                 raise QueryTimeout(f"stopped after {self.timeout_s} s") from e
-            raise ExecutionError(str(e).split("\n")[0]) from e
+            raise ExecutionError(masked(str(e).split("\n")[0])) from e
         finally:
             if timer:
                 timer.cancel()
@@ -133,7 +133,9 @@ class Engine:
                 df = follow_up(turn.result, raw)
                 reference = self.sessions.save(session, question, raw, df)
                 return Answer(self._collect(raw.with_(intent="count" if raw.intent == "count" else "lookup"), df), raw, reference)
-            if turn is not None and not raw.table and not raw.joins:
+            if turn is not None and turn.plan.aggregation and not raw.aggregation and raw.intent in ("lookup", "filter", "distinct"):
+                raw = details(turn.plan, raw)  # the rows behind an earlier aggregate
+            elif turn is not None and not raw.table and not raw.joins:
                 raw = raw.with_(table=turn.plan.table, joins=turn.plan.joins)
             plan = planner.repair(raw.with_(input_result_reference=None), question, self.catalog, tables[0] if tables else None)
             df, warnings = self._checked(plan)

@@ -12,7 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomquery.errors import AmbiguousColumn, PlanError
+from loomquery.errors import AmbiguousColumn, PlanError, masked
 from loomquery.plans.ir import Ref
 
 
@@ -71,7 +71,7 @@ class Catalog:
             try:
                 t.df.limit(1).count()
             except PySparkException as e:
-                raise PlanError(f"table {t.name} cannot be read: {str(e).splitlines()[0]}") from e
+                raise PlanError(f"table {t.name} cannot be read: {masked(str(e).splitlines()[0])}") from e
         return {"catalog": spark.catalog.currentCatalog(), "database": now, "tables": len(self.items)}
 
     def table(self, name: str) -> Table:

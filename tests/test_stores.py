@@ -161,3 +161,25 @@ def test_a_bare_column_of_several_tables_is_an_error(spark):
     assert named_tables(Plan("lookup", target_columns=("status", "only")), cat) == ["a"]
     assert named_tables(Plan("lookup", table="b", target_columns=("status",)), cat) == ["b"]
     assert named_tables(Plan("lookup", target_columns=("b.status", "other")), cat) == ["b", "c"]
+
+
+def test_the_rows_behind_an_aggregate(spark):
+    from loomquery.operators.compile import compile_plan
+    from loomquery.operators.followup import details
+    from loomquery.plans.ir import Filter, Join, Plan
+
+    cat = catalog(spark, DATA, ["orders", "customer"])
+    edge = Join("orders", "o_custkey", "customer", "c_custkey")
+    total = Plan("aggregation", aggregation="sum", target_columns=("o_totalprice",), joins=(edge,), filters=(Filter("c_mktsegment", "equals", "BUILDING"),))
+    rows = details(total, Plan("lookup", target_columns=("o_orderkey", "o_totalprice"), filters=(Filter("o_totalprice", "greater_than", 1000),)))
+    assert rows.distinct and rows.joins == (edge,) and rows.aggregation is None and len(rows.filters) == 2
+    got = compile_plan(cat, rows, capped=False)
+    want = compile_plan(cat, total).first()[0]
+    small = cat.table("orders").df.join(cat.table("customer").df, cat.table("orders").df["o_custkey"] == cat.table("customer").df["c_custkey"]).where("c_mktsegment = 'BUILDING' and o_totalprice <= 1000").agg({"o_totalprice": "sum"}).first()[0] or 0
+    assert got.agg({"o_totalprice": "sum"}).first()[0] + small == pytest.approx(want)
+
+
+def test_messages_hold_no_secrets():
+    from loomquery.errors import masked
+
+    assert masked("no route to jdbc:postgresql://me:hush@host/db?user=me&password=hush now") == "no route to jdbc:postgresql://***@host/db?user=***&password=*** now"
